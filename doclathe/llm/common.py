@@ -127,3 +127,28 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+class Memo(dict):
+    """What a function gives for a key, kept for up to ``room`` keys."""
+
+    def __init__(self, f: Callable, room: int = 400_000):
+        super().__init__()
+        self.f, self.room = f, room
+
+    def __missing__(self, key):
+        if len(self) >= self.room:
+            self.clear()
+        self[key] = out = self.f(key)
+        return out
+
+
+class Held:
+    """A broadcast value with a key by which a worker can keep what it derives from it."""
+
+    def __init__(self, spark: SparkSession, value):
+        self.id, self._sent = uuid.uuid4().hex, spark.sparkContext.broadcast(value)
+
+    @property
+    def value(self):
+        return self._sent.value

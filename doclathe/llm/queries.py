@@ -9,12 +9,51 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_dedup import embedding_dedup
+
+    return embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import simhash_dedup
 
     return simhash_dedup(table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import decontamination
+
+    return decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .bpe import bpe_encode
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe_encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, with_ids=False).drop("ids")
+
+
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_model import lm_scores
+
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import line_dedup
 
@@ -42,5 +81,19 @@ from marked group by doc_id
 """
 
 
+OP1_SQL = """
+with recursive v as (
+  select vec_id, label, [x::double for x in embedding] as e from embeddings
+), pairs as (
+  select a.vec_id as x, b.vec_id as y from v a join v b on a.label = b.label and a.vec_id <> b.vec_id
+  where list_cosine_similarity(a.e, b.e) >= 0.98
+), reach(x, y) as (
+  select vec_id, vec_id from v union select r.x, p.y from reach r join pairs p on r.y = p.x
+), n as (select x, count(*) as n from pairs group by x), c as (select x, min(y) as component_id from reach group by x)
+select v.vec_id, coalesce(n.n, 0) as n_links, c.component_id, v.vec_id = c.component_id as kept
+from v join c on c.x = v.vec_id left join n on n.x = v.vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_line_dedup": OP10_SQL}
+    return {"op1_embedding_dedup": OP1_SQL, "op10_line_dedup": OP10_SQL}
