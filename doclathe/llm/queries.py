@@ -27,6 +27,12 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import suffix_dedup
+
+    return suffix_dedup(table(spark, sf_dir, "documents"), with_text=False).drop("kept", "firsts", "lasts")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import decontamination
 
@@ -54,6 +60,12 @@ def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op9_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .phrase_dedup import phrase_dedup
+
+    return phrase_dedup(table(spark, sf_dir, "documents"), with_text=False).drop("kept_text")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import line_dedup
 
@@ -95,5 +107,24 @@ from v join c on c.x = v.vec_id left join n on n.x = v.vec_id
 """
 
 
+OP9_SQL = """
+with w as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as ws from documents
+), win as (
+  select doc_id, i, md5(array_to_string(ws[i:i + 34], ' ')) as h from (select doc_id, ws, unnest(range(1, len(ws) - 33)) as i from w)
+), rep as (
+  select doc_id, i from win where h in (select h from win group by h having count(*) > 1)
+), gone as (
+  select distinct doc_id, unnest(range(i, i + 35)) as j from rep
+), words as (
+  select doc_id, unnest(range(1, len(ws) + 1)) as j, unnest(ws) as word from w
+), kept as (
+  select words.doc_id, count(*) as n, string_agg(word, ' ' order by j) as s from words anti join gone using (doc_id, j) group by words.doc_id
+)
+select w.doc_id, cast(len(ws) as bigint) as n_words, cast(len(ws) - coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(s, '')) as kept_sha256
+from w left join kept using (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_dedup": OP1_SQL, "op10_line_dedup": OP10_SQL}
+    return {"op9_phrase_dedup": OP9_SQL, "op1_embedding_dedup": OP1_SQL, "op10_line_dedup": OP10_SQL}

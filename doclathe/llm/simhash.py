@@ -13,6 +13,7 @@ are ignored.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -108,3 +109,24 @@ def simhash_dedup(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE)
     smallest = member.groupBy("component").agg(F.min("first").alias("component_id"))
     by_fp = member.join(smallest, "component").select("fp", "copies", "component_id")
     return fps.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "copies")
+
+
+def one_of_each(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """``docs``, all columns, with one row of each group: one that has the group's smallest id."""
+    tuned(docs.sparkSession)
+    fps = stored(fingerprints(docs, shingle), "fingerprints")
+    classes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
+    found = components(fingerprint_links(classes.select("fp"), radius))
+    member = classes.join(found.withColumnRenamed("id", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    # Nulls are the largest here, as an id that is null is no group's smallest unless alone.
+    pick = member.groupBy("component").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "fp")).alias("x"))
+    pick = pick.select(F.col("x.fp").alias("_kept_fp"), F.col("x.first").alias("_kept_id"))
+    dropped(fps)
+
+    @F.pandas_udf("long")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint((t or "").encode("utf-8", "replace"), shingle) for t in texts], np.uint64).view(np.int64))
+
+    rows = docs.withColumn("_own_fp", of("text"))
+    same = (F.col("_own_fp") == F.col("_kept_fp")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id"))
+    return rows.join(pick, same).dropDuplicates(["_kept_fp", "_kept_id"]).select(*[F.col(f"`{c}`") for c in docs.columns])
