@@ -101,6 +101,7 @@ class FactorizationMachine:
 def fitted(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, negative: int = NEGATIVE) -> FactorizationMachine:
     """Learns from labelled rows whose crc32(doc_id) mod 5 isn't 0."""
     spark = docs.sparkSession
+    tuned(spark)
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").where(~held_out("doc_id", 0))
     own = own.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     total = {r["toxic"]: r["n"] for r in own.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
