@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import Held, Memo, held_out, tuned
 
 BUCKETS, FEATURES, RANK = 1 << 20, 2048, 8
-POSITIVE, NEGATIVE = 6_000, 9_000
+POSITIVE, NEGATIVE = 4_000, 6_000
 EDGES = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum()) + "«»„“”‘’…–—¡¿"
 
 
@@ -47,9 +47,8 @@ class FactorizationMachine:
         prior = float((weight * y).sum() / weight.sum()) if len(y) and weight.sum() else 0.0
         if not len(y) or y.min() == y.max():
             return cls(np.empty(0, np.int64), prior, np.empty(0), np.empty((0, rank)))
-        kept = cls._telling(rows, y, features)
-        at = {int(b): i for i, b in enumerate(kept)}
-        index = [np.array(sorted(at[b] for b in r.tolist() if b in at), np.int64) for r in rows]
+        kept = np.sort(cls._telling(rows, y, features))
+        index = [np.searchsorted(kept, np.intersect1d(r, kept, assume_unique=True)) for r in rows]
         rng, n = np.random.default_rng(seed), len(kept)
         bias = float(np.log(prior / (1 - prior)))
         w, v = np.zeros(n, np.float32), rng.normal(0, 0.02, (n, rank)).astype(np.float32)
@@ -78,13 +77,14 @@ class FactorizationMachine:
     @staticmethod
     def _telling(rows: list[np.ndarray], y: np.ndarray, features: int) -> np.ndarray:
         """Buckets by the chi-squared of their presence against the label; at least three rows must have them."""
-        flat = np.concatenate(rows) if rows else np.empty(0, np.int64)
-        of = np.repeat(y, [len(r) for r in rows])
-        names, inverse = np.unique(flat, return_inverse=True)
-        n, pos = np.bincount(inverse), np.bincount(inverse, weights=of)
+        n, pos = np.zeros(BUCKETS), np.zeros(BUCKETS)
+        for r, of in zip(rows, y):
+            n[r] += 1
+            pos[r] += of
+        names = np.flatnonzero(n >= 3)
+        n, pos = n[names], pos[names]
         share = y.mean()
         chi = (pos - n * share) ** 2 / (n * share * (1 - share))
-        chi[n < 3] = 0
         order = np.lexsort((names, -chi))[:features]
         return names[order[chi[order] > 0]]
 
@@ -115,7 +115,7 @@ def fitted(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, negativ
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).join(sample, "doc_id").select("doc_id", "toxic", buckets("text").alias("b")).collect()
     found.sort(key=lambda r: (r["toxic"], r["doc_id"], r["b"]))
     y = np.array([r["toxic"] for r in found], float)
-    rows = [np.frombuffer(r["b"], np.uint32).astype(np.int64) for r in found]
+    rows = [np.frombuffer(r["b"], np.uint32) for r in found]
     n = {k: max(1, int((y == k).sum())) for k in (0, 1)}
     share = {k: total.get(k, 0) / max(1, sum(total.values())) for k in (0, 1)}
     weight = np.array([share[int(k)] * len(y) / n[int(k)] for k in y])
