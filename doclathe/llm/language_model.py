@@ -60,6 +60,7 @@ class LogBilinear:
         total = pairs.sum()
         pairs = pairs.astype(np.float32)
         if not total:
+            self.r[:] = 0  # every class is equally likely
             return self
         seen = pairs.sum(0) + 0.5
         pn = seen / seen.sum()

@@ -189,12 +189,10 @@ def line_dedup(docs: DataFrame, index: LineIndex | None = None, min_docs: int =
     schema = OUT + "".join(f", _also_{f.name} {f.dataType.simpleString()}" for c in also for f in [docs.schema[c]])
     n = frequent.count()
     if n <= broadcast_keys:
-        table = frequent.toPandas()
+        table = frequent.select("h1", "h2", F.coalesce("keeper", F.lit(0)).alias("keeper"), F.col("keeper").isNull().alias("none")).toPandas()
         dropped(frequent)
         h1, h2 = table["h1"].to_numpy(np.int64), table["h2"].to_numpy(np.int64)
-        order = np.lexsort((h2, h1))
-        keeper = [None if x is None or x != x else int(x) for x in table["keeper"].astype(object)]
-        exact = {(int(h1[i]), int(h2[i])): keeper[i] for i in order}
+        exact = {(x, y): None if none else k for x, y, k, none in zip(h1.tolist(), h2.tolist(), table["keeper"].tolist(), table["none"].tolist())}
         held = spark.sparkContext.broadcast((ShardedFilter(h1, h2), exact))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
