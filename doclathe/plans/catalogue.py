@@ -69,6 +69,11 @@ select doc_id, case when ti <> '' then ti else '文档标题（Mock）' end as t
 """
 
 
+def original():
+    """The id of the original, -1 for originals themselves."""
+    return F.coalesce("existing_id", F.lit(-1)).cast("long").alias("existing_id")
+
+
 def flat(df: DataFrame) -> DataFrame:
     named = F.array_join(F.transform("entities", lambda e: F.concat(e["type"], F.lit(":"), e["name"])), "|")
     return df.withColumn("keywords", F.array_join("keywords", "|")).withColumn("entities", named)
@@ -77,7 +82,7 @@ def flat(df: DataFrame) -> DataFrame:
 @query(f"""with x as ({OFFLINE_SQL}), r as (select x.*, d.source, l.quality, row_number() over (partition by content_md5 order by x.doc_id) as n,
   min(x.doc_id) over (partition by content_md5) as f from x join documents d using (doc_id) left join labels l using (doc_id))
 select doc_id, source as source_file, title, 'document' as content_type, summary, keywords, entities, word_count, content_md5, coalesce(quality, 1.0)::double as confidence, n > 1 as is_duplicate,
-  case when n > 1 then f end as existing_id, word_count >= 20 and n = 1 as pass, coalesce(quality, 1.0) < 0.6 as needs_recheck from r""")
+  case when n > 1 then f else -1 end as existing_id, word_count >= 20 and n = 1 as pass, coalesce(quality, 1.0) < 0.6 as needs_recheck from r""")
 def pipeline_offline(spark, sf_dir):
     """Extraction, mapping, rules, duplicates and triage of documents in one plan."""
     docs = table(spark, sf_dir, "documents")
@@ -85,7 +90,7 @@ def pipeline_offline(spark, sf_dir):
     own = own.join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("score")), "doc_id", "left")
     q = triage.QualityValidator(RuleValidator().required("title").range("word_count", 20))
     report = q.report(own, dedup_field="content_md5")
-    return report.select("doc_id", F.col("source").alias("source_file"), "title", F.lit("document").alias("content_type"), "summary", "keywords", "entities", "word_count", "content_md5", "confidence", "is_duplicate", "existing_id", "pass", "needs_recheck")
+    return report.select("doc_id", F.col("source").alias("source_file"), "title", F.lit("document").alias("content_type"), "summary", "keywords", "entities", "word_count", "content_md5", "confidence", "is_duplicate", original(), "pass", "needs_recheck")
 
 
 @query(OFFLINE_SQL)
@@ -194,9 +199,9 @@ def content_md5(spark, sf_dir):
 
 
 @query("""select doc_id, md5(text) as fingerprint, row_number() over (partition by md5(text) order by doc_id) > 1 as is_duplicate,
-  case when row_number() over (partition by md5(text) order by doc_id) > 1 then first_value(doc_id) over (partition by md5(text) order by doc_id) end as existing_id from documents""")
+  case when row_number() over (partition by md5(text) order by doc_id) > 1 then first_value(doc_id) over (partition by md5(text) order by doc_id) else -1 end as existing_id from documents""")
 def dup_first_wins(spark, sf_dir):
-    return dedup.mark_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return dedup.mark_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "fingerprint", "is_duplicate", original())
 
 
 @query("select min(doc_id) as doc_id, md5(text) as fingerprint from documents group by text")
@@ -239,10 +244,10 @@ def seeded_lookup(spark, sf_dir):
 
 
 @query("""with k as (select doc_id, coalesce(quality::varchar, '__empty__' || doc_id) as k from documents left join labels using (doc_id))
-select doc_id, doc_id <> min(doc_id) over (partition by k) as is_duplicate, case when doc_id <> min(doc_id) over (partition by k) then min(doc_id) over (partition by k) end as existing_id from k""")
+select doc_id, doc_id <> min(doc_id) over (partition by k) as is_duplicate, case when doc_id <> min(doc_id) over (partition by k) then min(doc_id) over (partition by k) else -1 end as existing_id from k""")
 def dedup_missing_key(spark, sf_dir):
     own = table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
-    return dedup.mark_duplicates(own, "quality", missing_unique=True).select("doc_id", "is_duplicate", "existing_id")
+    return dedup.mark_duplicates(own, "quality", missing_unique=True).select("doc_id", "is_duplicate", original())
 
 
 def _rules() -> RuleValidator:
