@@ -70,6 +70,15 @@ class PluginManager:
             p.enabled, p.error = on, ""
         return name in self.plugins
 
+    def enable_all(self, on: bool = True) -> None:
+        for name in self.plugins:
+            self.enable(name, on)
+
+    def parser_for_file(self, path: str) -> Plugin | None:
+        """The first enabled parser plugin for a file's extension."""
+        ext = path.rpartition(".")[2].lower()
+        return next((p for p in self.of_kind("doc_parser") if ext in p.body.extensions), None)
+
     def load(self, class_path: str, **config) -> Plugin:
         """From ``module:attribute`` or ``module.attribute``: a plugin, a cleaning rule, or what makes one."""
         module, _, name = class_path.replace(":", ".").rpartition(".")

@@ -64,6 +64,9 @@ class Batch:
     root: str
     batch_id: str
     shard_size: int = 10
+    #: Called after each run: with the progress, and with the rows (idx, error) that failed.
+    on_progress: Callable[[dict], None] | None = None
+    on_failed: Callable[[DataFrame], None] | None = None
 
     @property
     def path(self) -> str:
@@ -146,7 +149,12 @@ class Batch:
             counts = counts.join(self.shards(), "shard_id").select("shard_id", (F.col("n_ok") + F.col("g")).alias("g"), (F.col("n_failed") - F.col("g")).alias("b"))
         state = F.when(F.col("b") > 0, "failed").otherwise("completed")
         self._write(counts.select(F.lit(self.batch_id).alias("batch_id"), F.lit("shard").alias("kind"), "shard_id", none.cast("long").alias("idx"), state.alias("status"), F.col("g").alias("n_ok"), F.col("b").alias("n_failed"), none.cast("string").alias("error"), F.lit(again).alias("retry"), F.lit(at).alias("at")))
-        return progress(self.shards())
+        now = progress(self.shards())
+        if self.on_failed:
+            self.on_failed(done.where(~F.col("ok")).select("idx", "error"))
+        if self.on_progress:
+            self.on_progress(now.first().asDict())
+        return now
 
     def summary(self) -> dict:
         return {"batch_id": self.batch_id, "status": self.status(), **progress(self.shards()).first().asDict()}

@@ -48,7 +48,10 @@ def test_resume_runs_only_what_is_left(spark, tmp_path):
         seen.append(sorted(r["idx"] for r in df.collect()))
         return work(-1)(df)
 
+    told = []
+    b.on_progress, b.on_failed = told.append, lambda d: told.append(d.count())
     b.run(items, counted)
+    assert told[0] == 0 and told[1]["percent"] == 100.0
     assert seen == [list(range(10, 20))] and b.status() == "completed"
     b.cancel()
     assert b.status() == "cancelled"
@@ -94,6 +97,10 @@ def test_http():
 def test_plugins(spark, tmp_path):
     m = PluginManager()
     assert {p.name for p in m.of_kind("prompt")} == {"resume", "contract", "news"}
+    m.enable_all(False)
+    assert m.of_kind("clean_rule") == [] and m.parser_for_file("a.tsv") is None
+    m.enable_all()
+    assert m.parser_for_file("a.TSV").name == "csv_table" and m.parser_for_file("a.xyz") is None
     m.enable("html_tag_stripper", False)
     m.save(str(tmp_path / "p.json"))
     n = PluginManager()
@@ -111,3 +118,12 @@ def test_plugins(spark, tmp_path):
 def test_config():
     c = Config.load({"MAX_RETRIES": "7", "RECHECK_THRESHOLD": "0.5"})
     assert (c.max_retries, c.recheck_threshold, c.max_batch_size) == (7, 0.5, 100)
+
+
+def test_logs(tmp_path):
+    from doclathe.logs import logger
+
+    log = logger("own", str(tmp_path / "logs"))
+    log.info("said")
+    assert logger("own") is log and len(log.handlers) == 2
+    assert "said" in (tmp_path / "logs/own.log").read_text()
