@@ -31,13 +31,10 @@ class QualityValidator:
 
         A duplicate's reason replaces that of the rules; low confidence is a reason only if there is no other, and
         doesn't fail the row."""
-        own = self.rules.validate(df)
-        own = own.withColumn("_conf", confidence(df))
         if dedup:
-            marked = mark_duplicates(df.select(*{order, *([dedup_field] if dedup_field else df.columns)}), dedup_field, order)
-            own = own.join(marked.select(order, "fingerprint", "is_duplicate", "existing_id"), order)
+            own = self.rules.validate(mark_duplicates(df, dedup_field, order).withColumn("_conf", confidence(df)))
         else:
-            own = own.select("*", F.lit(None).cast("string").alias("fingerprint"), F.lit(False).alias("is_duplicate"), F.lit(None).cast(df.schema[order].dataType).alias("existing_id"))
+            own = self.rules.validate(df.withColumn("_conf", confidence(df))).select("*", F.lit(None).cast("string").alias("fingerprint"), F.lit(False).alias("is_duplicate"), F.lit(None).cast(df.schema[order].dataType).alias("existing_id"))
         ok = all_valid(F.col("rule_results"))
         errors = F.array_join(F.transform(F.filter("rule_results", lambda r: r["level"] == "error"), lambda r: r["message"]), "; ")
         low = F.col("_conf") < self.threshold
