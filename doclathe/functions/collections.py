@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .text import strip
 
+#: Separators in the order in which they are tried, and what an address and a phone number look like.
 SEPARATORS = (";", "\n", "|", "、", "，", "；")
 EMAIL = r"(?U)[\w.+-]+@[\w-]+\.[\w.-]+"
 PHONE = r"1[3-9]\d{9}"

@@ -24,11 +24,16 @@ def over_strings(df: DataFrame, f: Callable[[Column], Column], columns: Iterable
     return df.select(*[F.when(F.col(f"`{c}`").isNotNull(), f(F.col(f"`{c}`"))).alias(c) if c in own else F.col(f"`{c}`") for c in df.columns])
 
 
+#: Phones, then identity numbers, then mail addresses, and what is left of them; the order matters.
+MASKS = (
+    (r"(1[3-9]\d)\d{4}(\d{4})", "$1****$2"),
+    (r"(\d{6})\d{8,11}(\d{4})", "$1********$2"),
+    (r"(?U)(\w)[\w.]*(@\w+\.\w+)", "$1***$2"),
+)
+
+
 def mask_sensitive(c: Column) -> Column:
-    """Phones, then identity numbers, then mail addresses; the order matters."""
-    c = F.regexp_replace(c, r"(1[3-9]\d)\d{4}(\d{4})", "$1****$2")
-    c = F.regexp_replace(c, r"(\d{6})\d{8,11}(\d{4})", "$1********$2")
-    return F.regexp_replace(c, r"(?U)(\w)[\w.]*(@\w+\.\w+)", "$1***$2")
+    return reduce(lambda x, m: F.regexp_replace(x, *m), MASKS, c)
 
 
 def without_tracking(c: Column) -> Column:

@@ -105,6 +105,7 @@ class EchoClient:
         return "```json\n" + json.dumps({"summary": text[:40], "length": len(text), "md5": hashlib.md5(text.encode()).hexdigest()}, ensure_ascii=False) + "\n```"
 
 
+#: Providers with their default models, and sampling parameters.
 PROVIDERS: dict[str, dict] = {
     "openai": {"model": "gpt-4o"},
     "qwen": {"model": "qwen-plus"},
