@@ -23,7 +23,7 @@ from .common import parts, rolling, shared_dir, signed, sliding_min
 POSITION = 20
 LOW = np.uint64((1 << POSITION) - 1)
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
-#: An anchor with more places than this is compared in pairs of blocks of about so many.
+#: An anchor in more distinct texts than this is compared in pairs of blocks of about so many texts.
 BLOCK = 2048
 
 
@@ -100,7 +100,7 @@ def anchor_rows(texts: DataFrame, tokens_of, length: int, k: int) -> DataFrame:
 
 
 def blocks_of(n: int, k1: int) -> list[tuple[int, int, int]]:
-    """(_lo, _hi, _side) of the groups in which a row of an anchor with n places is compared."""
+    """(_lo, _hi, _side) of the groups in which a row of an anchor of n distinct texts is compared."""
     if n <= BLOCK:
         return [(0, 0, 0)]
     b = -(-n // BLOCK)

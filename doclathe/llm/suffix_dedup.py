@@ -48,8 +48,8 @@ class SuffixFamily:
         scan = new.select("head", "n", F.lit(True).alias("new"))
         for _, level in self.levels:
             scan = scan.union(level.select("head", "n", F.lit(False)))
-        found = scan.groupBy("head").agg(F.sum("n").alias("n"), F.bool_or("new").alias("new")).where("new and n > 1")
-        self.recurring.append(stored(found.select("head", "n"), "recurring"))
+        found = scan.groupBy("head").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts"), F.bool_or("new").alias("new")).where("new and n > 1")
+        self.recurring.append(stored(found.select("head", "texts"), "recurring"))
         size = 1
         while self.levels and self.levels[-1][0] == size:
             _, old = self.levels.pop()
@@ -63,32 +63,32 @@ class SuffixFamily:
         return stored(rows.select("head", "k1", "k2", "n").repartition(parts(rows.sparkSession), "head").sortWithinPartitions("head"), "suffixes")
 
     def suspects(self) -> DataFrame:
-        """Every place (head, k1, k2) of a head that recurs, and the number of places."""
+        """Every text (head, k1, k2) with a head that recurs, and the number of such texts."""
         heads = self.recurring[0]
         for r in self.recurring[1:]:
             heads = heads.unionByName(r)
-        heads = heads.groupBy("head").agg(F.max("n").alias("places"))
+        heads = heads.groupBy("head").agg(F.max("texts").alias("texts"))
         rows = self.levels[0][1]
         for _, level in self.levels[1:]:
             rows = rows.unionByName(level)
-        return rows.join(heads, "head").select("head", "k1", "k2", "places")
+        return rows.join(heads, "head").select("head", "k1", "k2", "texts")
 
 
 def long_matches(texts: DataFrame, suspects: DataFrame, length: int = LENGTH, head: int = HEAD) -> DataFrame:
     """k1, k2, first, last of bytes in strings of ``length`` bytes that also start elsewhere."""
-    own = suspects.groupBy("k1", "k2").agg(F.collect_list(F.struct("head", "places")).alias("heads"))
-    own = texts.join(own, ["k1", "k2"]).select("k1", "k2", "text", "copies", F.col("heads.head").alias("heads"), F.col("heads.places").alias("places"))
+    own = suspects.groupBy("k1", "k2").agg(F.collect_list(F.struct("head", "texts")).alias("heads"))
+    own = texts.join(own, ["k1", "k2"]).select("k1", "k2", "text", "copies", F.col("heads.head").alias("heads"), F.col("heads.texts").alias("texts"))
     schema = "head long, _lo int, _hi int, _side int, k1 long, k2 long, firsts array<long>, many boolean, s binary"
     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.bool_(), pa.binary()]
     names = [x.split()[0] for x in schema.split(", ")]
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols = (b.column("text").cast(pa.binary()), b.column("copies"), b.column("k1"), b.column("k2"), b.column("heads"), b.column("places"))
+            cols = (b.column("text").cast(pa.binary()), b.column("copies"), b.column("k1"), b.column("k2"), b.column("heads"), b.column("texts"))
             out: list[tuple] = []
             size = 0
-            for text, copies, k1, k2, heads, places in zip(*(c.to_pylist() for c in cols)):
-                n = dict(zip(heads, places))
+            for text, copies, k1, k2, heads, texts in zip(*(c.to_pylist() for c in cols)):
+                n = dict(zip(heads, texts))
                 h, place, first, last = anchors(byte_tokens(text), length, head)
                 at: dict[tuple, list[int]] = {}
                 for x, p, f, t in zip(h.view(np.int64).tolist(), place.tolist(), first.tolist(), last.tolist()):
