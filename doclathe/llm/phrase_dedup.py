@@ -38,8 +38,8 @@ def word_tokens(text: bytes) -> np.ndarray:
 
 
 def phrase_table(texts: DataFrame, rows: DataFrame, window: int, phrase: int) -> DataFrame:
-    """head, phrase, places: every phrase that recurs, with its words taken from one of its texts."""
-    heads = rows.groupBy("head").agg(F.sum("n").alias("places"), F.min(F.struct("k1", "k2")).alias("k")).where("places > 1")
+    """head, phrase, places (texts with it): every phrase that recurs, with its words taken from one of its texts."""
+    heads = rows.groupBy("head").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("places"), F.min(F.struct("k1", "k2")).alias("k")).where("n > 1")
     own = heads.groupBy(F.col("k.k1").alias("k1"), F.col("k.k2").alias("k2")).agg(F.collect_list(F.struct("head", "places")).alias("heads"))
     own = texts.join(own, ["k1", "k2"]).select("text", F.col("heads.head").alias("heads"), F.col("heads.places").alias("places"))
 
@@ -66,7 +66,7 @@ def automaton(phrases: dict[str, tuple[int, int]]) -> ahocorasick.Automaton:
 
 
 def located(a: ahocorasick.Automaton, words: list[bytes], phrase: int) -> tuple[np.ndarray, dict[int, int]]:
-    """Heads of the phrases at each word (NONE: no phrase), and how many places each phrase has."""
+    """Heads of the phrases at each word (NONE: no phrase), and how many texts have each phrase."""
     text = [w.decode("utf-8", "replace") for w in words]
     ends = np.cumsum(np.fromiter(map(len, text), np.int64, len(text)) + 1)
     keys, places, at, heads = np.full(max(len(words) - phrase + 1, 0), NONE), {}, [], []
