@@ -13,13 +13,12 @@ are ignored.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, fresh, per_batch, stored, texts_of, tuned
+from .common import dropped, per_batch, stored, texts_of, tuned
 from .links import block_pairs, components, grouped_runs, local_roots
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
@@ -46,15 +45,20 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, also: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id and fingerprint (signed long) of each row."""
+def text_hash() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, text_hash and fingerprint (signed long) of each row."""
     tuned(docs.sparkSession)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         fps = [fingerprint(t, shingle) for t in texts_of(b)]
-        return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "text_hash", "fp"])
 
-    return per_batch(fresh(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")), run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"), "text")
+    return per_batch(rows, run, "doc_id long, text_hash long, fp long")
 
 
 def masks(radius: int) -> list[int]:
@@ -115,18 +119,13 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -
     """``docs``, all columns, with one row of each group: one that has the group's smallest id."""
     tuned(docs.sparkSession)
     fps = stored(fingerprints(docs, shingle), "fingerprints")
-    classes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
+    # A row is picked by its id and a hash of its text, which costs no second look at the shingles. Null ids come last.
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    classes = stored(fps.groupBy("fp").agg(F.min(row).alias("first")), "classes")
     found = components(fingerprint_links(classes.select("fp"), radius))
     member = classes.join(found.withColumnRenamed("id", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    # Nulls are the largest here, as an id that is null is no group's smallest unless alone.
-    pick = member.groupBy("component").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "fp")).alias("x"))
-    pick = pick.select(F.col("x.fp").alias("_kept_fp"), F.col("x.first").alias("_kept_id"))
-    dropped(fps)
-
-    @F.pandas_udf("long")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint((t or "").encode("utf-8", "replace"), shingle) for t in texts], np.uint64).view(np.int64))
-
-    rows = docs.withColumn("_own_fp", of("text"))
-    same = (F.col("_own_fp") == F.col("_kept_fp")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id"))
-    return rows.join(pick, same).dropDuplicates(["_kept_fp", "_kept_id"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    pick = stored(member.groupBy("component").agg(F.min("first").alias("x")).select(F.col("x.doc_id").alias("_kept_id"), F.col("x.text_hash").alias("_kept_text")), "picked")
+    dropped(fps, classes)
+    rows = docs.withColumn("_own_text", text_hash())
+    same = (F.col("_own_text") == F.col("_kept_text")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id"))
+    return rows.join(pick, same).dropDuplicates(["_kept_text", "_kept_id"]).select(*[F.col(f"`{c}`") for c in docs.columns])
