@@ -114,7 +114,7 @@ def pieces(text: str, cuts: list[int]) -> Iterator[str]:
 
 def digest(bpe: ByteBpe, parts_of: Iterator[str], with_ids: bool) -> tuple:
     """n_tokens, sha256 of the ids, sha256 of the decoded bytes, and the ids where asked for."""
-    n, of_ids, of_bytes, ids = 0, hashlib.sha256(), hashlib.sha256(), []
+    n, of_ids, of_bytes, ids = 0, hashlib.sha256(), hashlib.sha256(), [np.empty(0, np.int32)]
     for p in parts_of:
         got = bpe.encode(p)
         if got:
@@ -122,8 +122,8 @@ def digest(bpe: ByteBpe, parts_of: Iterator[str], with_ids: bool) -> tuple:
             of_bytes.update(bpe.decode(got))
             n += len(got)
             if with_ids:
-                ids += got
-    return n, of_ids.hexdigest(), of_bytes.hexdigest(), ids if with_ids else None
+                ids.append(np.array(got, np.int32))
+    return n, of_ids.hexdigest(), of_bytes.hexdigest(), np.concatenate(ids) if with_ids else None
 
 
 OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>"
@@ -169,7 +169,7 @@ def bpe_encode(docs: DataFrame, vocabulary: str, pattern: str, chunk: int = CHUN
         cuts = stitch(bpe, text, list(zip(rows["at"].tolist(), map(list, rows["head"]), map(list, rows["tail"]))))
         n, a, b, ids = digest(bpe, pieces(text, cuts), with_ids)
         doc_id = rows["doc_id"].iloc[0]
-        return pd.DataFrame({"doc_id": pd.array([None if pd.isna(doc_id) else int(doc_id)], "Int64"), "n_tokens": [n], "ids_sha256": [a], "decoded_sha256": [b], "ids": [None if ids is None else np.array(ids, np.int32)]})
+        return pd.DataFrame({"doc_id": pd.array([None if pd.isna(doc_id) else int(doc_id)], "Int64"), "n_tokens": [n], "ids_sha256": [a], "decoded_sha256": [b], "ids": [ids]})
 
     shape = "_row long, doc_id long, at long, total long, piece string"
     cuts = long.withColumn("_row", F.monotonically_increasing_id()).mapInArrow(cut, shape)

@@ -49,7 +49,7 @@ def dropped(*tables: DataFrame) -> None:
             where.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def tuned(spark: SparkSession, records: int = 10_000, size: str = "8m") -> None:
+def tuned(spark: SparkSession, records: int = 10_000, size: str = "4m") -> None:
     """Arrow batches are bounded by bytes, so that very long texts travel in batches of a few rows."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
@@ -132,7 +132,7 @@ def signed(x: np.ndarray) -> np.ndarray:
 class Memo(dict):
     """What a function gives for a key, kept for up to ``room`` keys."""
 
-    def __init__(self, f: Callable, room: int = 400_000):
+    def __init__(self, f: Callable, room: int = 120_000):
         super().__init__()
         self.f, self.room = f, room
 
