@@ -21,9 +21,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import repeats
 from .common import Memo, rolling, signed, stored, tuned
 from .links import grouped_runs
-from .repeats import NONE, anchor_rows, anchors, blocks_of, covered, distinct_texts, keyed, least_runs, merged, repeated, spans_batch
+from .repeats import NONE, anchor_rows, anchors, blocks_of, covered, distinct_texts, keyed, least_runs, merged, repeated_in_group, spans_batch
 
 WINDOW, PHRASE = 35, 8
 _memo = Memo(xxhash.xxh64_intdigest)
@@ -80,7 +81,7 @@ def located(a: ahocorasick.Automaton, words: list[bytes], phrase: int) -> tuple[
     return keys, places
 
 
-def repeated_windows(texts: DataFrame, rows: DataFrame, phrases: DataFrame, window: int, phrase: int) -> DataFrame:
+def repeated_windows(texts: DataFrame, rows: DataFrame, phrases: DataFrame, window: int, phrase: int, block: int) -> DataFrame:
     """k1, k2, first, last of words in windows that also start elsewhere."""
     own = rows.join(phrases, "head").groupBy("k1", "k2").agg(F.collect_list(F.struct("head", "phrase", "places")).alias("p"))
     own = texts.join(own, ["k1", "k2"]).select("k1", "k2", "text", "copies", F.col("p.head").alias("heads"), F.col("p.phrase").alias("phrases"), F.col("p.places").alias("places"))
@@ -106,14 +107,14 @@ def repeated_windows(texts: DataFrame, rows: DataFrame, phrases: DataFrame, wind
                 for h, p, f, z in zip(*(x.view(np.int64).tolist() for x in least_runs(keys, window - phrase + 1))):
                     at.setdefault((h, p - f, w[f : z + 1].tobytes()), []).append(f)
                 for (h, _, raw), firsts in at.items():
-                    for lo, hi, side in blocks_of(places[h], k1):
+                    for lo, hi, side in blocks_of(places[h], k1, block):
                         out.append((h, lo, hi, side, k1, k2, firsts, copies > 1 or len(firsts) > 1, np.frombuffer(raw, np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], k) for j, k in enumerate(kinds)], names)
 
     def kernel(c: dict, starts: np.ndarray) -> pa.RecordBatch | None:
         w = c["w"].combine_chunks() if isinstance(c["w"], pa.ChunkedArray) else c["w"]
         sizes = np.diff(w.offsets.to_numpy().astype(np.int64))
-        flag = repeated(w.flatten().to_numpy()) | np.repeat(np.asarray(c["many"]), sizes)
+        flag = repeated_in_group(w.flatten().to_numpy().view(np.uint64), starts, sizes) | np.repeat(np.asarray(c["many"]), sizes)
         return spans_batch(c, flag, sizes, window)
 
     return grouped_runs(own.mapInArrow(stream, schema), ["head", "_lo", "_hi"], kernel, "k1 long, k2 long, first long, last long", at_most=50_000)
@@ -137,12 +138,13 @@ def cut_words(texts: DataFrame, spans: DataFrame, window: int, with_text: bool)
     return covered(texts, spans).mapInArrow(run, "k1 long, k2 long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
-def phrase_dedup(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, with_text: bool = True) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, kept_text (null without ``with_text``) of each row."""
+def phrase_dedup(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, with_text: bool = True, block: int | None = None) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256, kept_text (null without ``with_text``) of each row; ``block`` (default:
+    ``repeats.BLOCK``) is the number of texts beyond which those of one phrase are compared in pairs of blocks."""
     tuned(docs.sparkSession, size="2m")
     texts = distinct_texts(docs)
     rows = stored(anchor_rows(texts, word_tokens, window, phrase), "anchors")
     phrases = stored(phrase_table(texts, rows, window, phrase), "phrases")
-    spans = repeated_windows(texts, rows, phrases, window, phrase)
+    spans = repeated_windows(texts, rows, phrases, window, phrase, block or repeats.BLOCK)
     out = cut_words(texts, spans, window, with_text)
     return keyed(docs).select("doc_id", "k1", "k2").join(out, ["k1", "k2"]).drop("k1", "k2")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, rolling, shared_dir, signed, sliding_min
+from .common import mixed, parts, rolling, shared_dir, signed, sliding_min
 
 POSITION = 20
 LOW = np.uint64((1 << POSITION) - 1)
@@ -99,11 +99,11 @@ def anchor_rows(texts: DataFrame, tokens_of, length: int, k: int) -> DataFrame:
     return texts.select("k1", "k2", "text", "copies").mapInArrow(run, "head long, k1 long, k2 long, n long")
 
 
-def blocks_of(n: int, k1: int) -> list[tuple[int, int, int]]:
+def blocks_of(n: int, k1: int, block: int) -> list[tuple[int, int, int]]:
     """(_lo, _hi, _side) of the groups in which a row of an anchor of n distinct texts is compared."""
-    if n <= BLOCK:
+    if n <= block:
         return [(0, 0, 0)]
-    b = -(-n // BLOCK)
+    b = -(-n // block)
     own = (k1 ^ (k1 >> 32)) % b
     return [(min(own, j), max(own, j), own) for j in range(b)]
 
@@ -119,6 +119,15 @@ def repeated(h: np.ndarray) -> np.ndarray:
     return out
 
 
+def repeated_in_group(h: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Which entries have an equal in their own group. ``starts``: each group's first row; ``sizes``: entries of each row.
+
+    A row stands in several groups of its anchor, but once in each, so it never meets itself."""
+    group = np.zeros(len(sizes), np.uint64)
+    group[starts] = 1
+    return repeated(h ^ np.repeat(mixed(np.cumsum(group, dtype=np.uint64)), sizes))
+
+
 def runs(flag: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, first, last) of runs of set flags, within rows of the given sizes."""
     if not flag.any():

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import dropped, mixed, parts, rolling, stored, tuned
 from .links import grouped_runs
-from .repeats import anchor_rows, anchors, blocks_of, covered, distinct_texts, keyed, merged, repeated, spans_batch
+from .repeats import BLOCK, anchor_rows, anchors, blocks_of, covered, distinct_texts, keyed, merged, repeated, spans_batch
 
 LENGTH, HEAD, BATCHES = 400, 32, 2
 with np.errstate(over="ignore"):
@@ -95,7 +95,7 @@ def long_matches(texts: DataFrame, suspects: DataFrame, length: int = LENGTH, he
                     if x in n:
                         at.setdefault((x, p - f, text[f : t + length]), []).append(f)
                 for (x, _, s), firsts in at.items():
-                    for lo, hi, side in blocks_of(n[x], k1):
+                    for lo, hi, side in blocks_of(n[x], k1, BLOCK):
                         out.append((x, lo, hi, side, k1, k2, firsts, copies > 1 or len(firsts) > 1, s))
                         size += len(s)
                 if size > 4_000_000:
