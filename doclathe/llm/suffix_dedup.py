@@ -22,9 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import repeats
 from .common import dropped, mixed, parts, rolling, stored, tuned
 from .links import grouped_runs
-from .repeats import BLOCK, anchor_rows, anchors, blocks_of, covered, distinct_texts, keyed, merged, repeated, spans_batch
+from .repeats import anchor_rows, anchors, blocks_of, covered, distinct_texts, keyed, merged, repeated_in_group, spans_batch
 
 LENGTH, HEAD, BATCHES = 400, 32, 2
 with np.errstate(over="ignore"):
@@ -74,8 +75,9 @@ class SuffixFamily:
         return rows.join(heads, "head").select("head", "k1", "k2", "texts")
 
 
-def long_matches(texts: DataFrame, suspects: DataFrame, length: int = LENGTH, head: int = HEAD) -> DataFrame:
+def long_matches(texts: DataFrame, suspects: DataFrame, length: int = LENGTH, head: int = HEAD, block: int | None = None) -> DataFrame:
     """k1, k2, first, last of bytes in strings of ``length`` bytes that also start elsewhere."""
+    block = block or repeats.BLOCK  # travels with the tasks
     own = suspects.groupBy("k1", "k2").agg(F.collect_list(F.struct("head", "texts")).alias("heads"))
     own = texts.join(own, ["k1", "k2"]).select("k1", "k2", "text", "copies", F.col("heads.head").alias("heads"), F.col("heads.texts").alias("texts"))
     schema = "head long, _lo int, _hi int, _side int, k1 long, k2 long, firsts array<long>, many boolean, s binary"
@@ -95,7 +97,7 @@ def long_matches(texts: DataFrame, suspects: DataFrame, length: int = LENGTH, he
                     if x in n:
                         at.setdefault((x, p - f, text[f : t + length]), []).append(f)
                 for (x, _, s), firsts in at.items():
-                    for lo, hi, side in blocks_of(n[x], k1, BLOCK):
+                    for lo, hi, side in blocks_of(n[x], k1, block):
                         out.append((x, lo, hi, side, k1, k2, firsts, copies > 1 or len(firsts) > 1, s))
                         size += len(s)
                 if size > 4_000_000:
@@ -112,7 +114,7 @@ def long_matches(texts: DataFrame, suspects: DataFrame, length: int = LENGTH, he
         h = rolling(BYTE[data], length)
         sizes = offsets[1:] - offsets[:-1] - length + 1
         at = np.repeat(offsets[:-1], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        flag = repeated(h[at]) | np.repeat(np.asarray(c["many"]), sizes)
+        flag = repeated_in_group(h[at], starts, sizes) | np.repeat(np.asarray(c["many"]), sizes)
         return spans_batch(c, flag, sizes, length)
 
     rows = own.mapInArrow(contexts, schema)
@@ -136,9 +138,10 @@ def cut_bytes(texts: DataFrame, spans: DataFrame, length: int, with_text: bool)
     return covered(texts, spans).mapInArrow(run, "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, firsts array<long>, lasts array<long>")
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, head: int = HEAD, batches: int = BATCHES, with_text: bool = True) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, head: int = HEAD, batches: int = BATCHES, with_text: bool = True, block: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes), firsts, lasts (removed spans) of each row; the
-    last three are null without ``with_text``."""
+    last three are null without ``with_text``. ``block`` (default: ``repeats.BLOCK``) is the number of texts beyond which
+    those of one head are compared in pairs of blocks."""
     tuned(docs.sparkSession, size="4m")
     texts = distinct_texts(docs)
     rows = stored(anchor_rows(texts, byte_tokens, length, head).withColumn("batch", F.pmod("k1", F.lit(batches)).cast("int")), "anchors")
@@ -146,6 +149,6 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, head: int = HEAD, batche
     for i in range(batches):
         family.add(rows.where(F.col("batch") == i))
     dropped(rows)
-    spans = long_matches(texts, family.suspects(), length, head)
+    spans = long_matches(texts, family.suspects(), length, head, block)
     out = cut_bytes(texts, spans, length, with_text)
     return keyed(docs).select("doc_id", "k1", "k2").join(out, ["k1", "k2"]).drop("k1", "k2")

@@ -1,10 +1,13 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 
 from doclathe.llm import repeats
 from doclathe.llm.common import rolling
 from doclathe.llm.phrase_dedup import hashed_words, phrase_dedup
+from doclathe.llm.suffix_dedup import byte_tokens, suffix_dedup
 
 from test_repeats import brute, some_texts
 
@@ -36,3 +39,19 @@ def test_phrase_blocks_equal_brute_force(docs_of, one_partition, block):
     out = sorted(map(tuple, phrase_dedup(docs_of(rows), 9, 3, block=block).select("doc_id", "n_removed").collect()))
     words = [(t or "").encode().split() for _, t in rows]
     assert out == sorted((i, int(m.sum())) for (i, _), m in zip(rows, brute(words, 9)))
+
+
+def test_head_of_many_blocks_cuts_nothing_unique(docs_of, one_partition):
+    rng = random.Random(0)
+    text = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=n))
+    common = least_of([text(8) for _ in range(400)], byte_tokens, 8)
+    rows = [(i, text(40) + common + text(40)) for i in range(repeats.BLOCK + 400)]
+    assert suffix_dedup(docs_of(rows), 24, 8).where("n_removed > 0").count() == 0
+
+
+@pytest.mark.parametrize("block", [1, 3, 10])
+def test_head_blocks_equal_brute_force(docs_of, one_partition, block):
+    rows = some_texts(6, 60)
+    out = sorted(map(tuple, suffix_dedup(docs_of(rows), 24, 8, 3, block=block).select("doc_id", "n_removed").collect()))
+    data = [(t or "").encode() for _, t in rows]
+    assert out == sorted((i, int(m.sum())) for (i, _), m in zip(rows, brute(data, 24)))
