@@ -3,7 +3,8 @@
 A text's terms are its distinct words (lower case, without outer punctuation) and their first four and five characters,
 hashed to 2^20 buckets. Up to POSITIVE toxic and NEGATIVE other labelled rows (the first by a hash of their id: a
 documented bound, weighted back to the labels' shares) give the FEATURES buckets that tell the classes apart best, and a
-factorization machine of rank RANK is fitted to them: bias, weights, and an interaction for every pair.
+factorization machine of rank RANK is fitted to them: bias, weights, and an interaction for every pair. Then all buckets
+that at least three of these rows have get factors, fitted to what is left, so that pairs tell whose terms do not.
 
 Defined cases: null and empty texts get the score of a text without terms; ids with several labels are toxic if one
 says so; null labels and ids teach nothing; labels of one class only, or none, give every text that class's share; rows
@@ -13,6 +14,7 @@ with equal ids are scored one by one; other columns stay as they are.
 from __future__ import annotations
 
 import zlib
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -47,32 +49,60 @@ class FactorizationMachine:
         prior = float((weight * y).sum() / weight.sum()) if len(y) and weight.sum() else 0.0
         if not len(y) or y.min() == y.max():
             return cls(np.empty(0, np.int64), prior, np.empty(0), np.empty((0, rank)))
-        kept = np.sort(cls._telling(rows, y, features))
-        index = [np.searchsorted(kept, np.intersect1d(r, kept, assume_unique=True)) for r in rows]
-        rng, n = np.random.default_rng(seed), len(kept)
-        bias = float(np.log(prior / (1 - prior)))
-        w, v = np.zeros(n, np.float32), rng.normal(0, 0.02, (n, rank)).astype(np.float32)
-        gw, gv, gb = np.full(n, 1e-4, np.float32), np.full((n, rank), 1e-4, np.float32), 1e-4
+        rng = np.random.default_rng(seed)
+        telling = np.sort(cls._telling(rows, y, features))
+        n = len(telling)
+        m = cls(telling, float(np.log(prior / (1 - prior))), np.zeros(n, np.float32), rng.normal(0, 0.02, (n, rank)).astype(np.float32))
+        m._descend(rows, y, weight, np.ones(n, bool), rng, epochs, rate)
+        # Terms that tell nothing alone may tell in pairs: they get factors, fitted to what is left, and no weights.
+        kept = np.union1d(telling, cls._frequent(rows))
+        n, old = len(kept), np.searchsorted(kept, telling)
+        w, v = np.zeros(n, np.float32), rng.normal(0, 0.002, (n, rank)).astype(np.float32)
+        w[old], v[old] = m.w, m.v
+        m = cls(kept, m.bias, w, v)
+        m._descend(rows, y, weight, np.isin(kept, telling), rng, -(-epochs // 3), rate, slow=1e-2)
+        return cls(kept, m.bias, m.w.astype(float), m.v.astype(float))
+
+    def _descend(self, rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, weighted: np.ndarray, rng: np.random.Generator, epochs: int, rate: float, slow: float = 1e-4) -> None:
+        """AdaGrad over ``epochs``; buckets that aren't ``weighted`` keep their weight of 0. Factors' steps start from ``slow``."""
+        n, w, v = len(self.buckets), self.w, self.v
+        index = [(at := self.place[r])[at >= 0] for r in rows]
+        here, nth = np.zeros(n, bool), np.zeros(n, np.int32)
+        gw, gv, gb = np.full(n, 1e-4, np.float32), np.full(v.shape, slow, np.float32), 1e-4
         for _ in range(epochs):
             order = rng.permutation(len(y))
             for s in range(0, len(order), 128):
                 own = order[s : s + 128]
-                x = np.zeros((len(own), n), np.float32)
+                # Only the terms of these rows take part and are updated.
+                here[:] = False
+                for r in own:
+                    here[index[r]] = True
+                of = np.flatnonzero(here)
+                nth[of] = np.arange(len(of))
+                x = np.zeros((len(own), len(of)), np.float32)
                 for i, r in enumerate(own):
-                    x[i, index[r]] = 1
-                xv = x @ v
-                z = bias + x @ w + 0.5 * ((xv * xv).sum(1) - x @ (v * v).sum(1))
+                    x[i, nth[index[r]]] = 1
+                wo, vo = w[of], v[of]
+                xv = x @ vo
+                z = self.bias + x @ wo + 0.5 * ((xv * xv).sum(1) - x @ (vo * vo).sum(1))
                 e = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[own]) * weight[own] / len(own)).astype(np.float32)
                 ex = x.T @ e
-                dw = ex + 1e-5 * w
-                dv = x.T @ (e[:, None] * xv) - ex[:, None] * v + 1e-4 * v
-                gw += dw * dw
-                gv += dv * dv
+                dw = (ex + 1e-5 * wo) * weighted[of]
+                dv = x.T @ (e[:, None] * xv) - ex[:, None] * vo + 1e-4 * vo
+                gw[of] += dw * dw
+                gv[of] += dv * dv
                 gb += float(e.sum()) ** 2
-                w -= rate * dw / np.sqrt(gw)
-                v -= rate * dv / np.sqrt(gv)
-                bias -= rate * float(e.sum()) / gb**0.5
-        return cls(kept, bias, w.astype(float), v.astype(float))
+                w[of] = wo - rate * dw / np.sqrt(gw[of])
+                v[of] = vo - rate * dv / np.sqrt(gv[of])
+                self.bias -= rate * float(e.sum()) / gb**0.5
+
+    @staticmethod
+    def _frequent(rows: list[np.ndarray]) -> np.ndarray:
+        """Buckets that at least three rows have."""
+        n = np.zeros(BUCKETS, np.int32)
+        for r in rows:
+            n[r] += 1
+        return np.flatnonzero(n >= 3)
 
     @staticmethod
     def _telling(rows: list[np.ndarray], y: np.ndarray, features: int) -> np.ndarray:
@@ -88,6 +118,13 @@ class FactorizationMachine:
         order = np.lexsort((names, -chi))[:features]
         return names[order[chi[order] > 0]]
 
+    @cached_property
+    def place(self) -> np.ndarray:
+        """Where each bucket stands among those kept; -1: not kept."""
+        out = np.full(BUCKETS, -1, np.int32)
+        out[self.buckets] = np.arange(len(self.buckets))
+        return out
+
     def logit(self, index: np.ndarray) -> float:
         s = self.v[index].sum(0)
         return self.bias + self.w[index].sum() + 0.5 * (s @ s - self.square[index].sum())
@@ -139,8 +176,7 @@ def scorer(docs: DataFrame, model: FactorizationMachine, text: str = "text") ->
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         m = held.value
-        place = {int(b): i for i, b in enumerate(m.buckets)}
-        memo = _memo_for(held.id, lambda t: tuple(place[b] for b in term_buckets(t) if b in place))
+        memo = _memo_for(held.id, lambda t: tuple(p for b in term_buckets(t) if (p := int(m.place[b])) >= 0))
         out = []
         for x in texts:
             index = sorted({i for t in set((x or "").lower().split()) for i in memo[t]})
