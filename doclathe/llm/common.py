@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..shipping import ship
 
-#: Used where a session names no shared folder, as in tests.
+#: Used where a local session, as in tests, names no shared folder.
 OWN_SHARED = "/tmp/checkpoints"
 #: Words are what stands between ASCII white space.
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -23,8 +23,11 @@ BLANK = b" \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set only where the cluster names none."""
+    """The folder that driver and executors share. Only a session on one machine may leave it unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not found and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{(found or OWN_SHARED).rstrip('/')}/doclathe"
 
 
@@ -40,6 +43,34 @@ def stored(df: DataFrame, tag: str, codec: str = "zstd", partition_by: str | Non
     return out
 
 
+def sharded(df: DataFrame, tag: str, *keys: str, order: bool = False, path: str | None = None) -> DataFrame:
+    """As ``stored``, in as many buckets by ``keys`` as there are shuffle partitions, each in order of ``keys`` if asked
+    for: two such tables meet by these keys without a shuffle. The catalogue keeps no entry of it."""
+    spark = df.sparkSession
+    path = path or f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    name = f"{tag}_{uuid.uuid4().hex}"
+    writer = df.write.bucketBy(parts(spark), *keys)
+    if order:
+        writer = writer.sortBy(*keys)
+    writer.option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
+    return _unlisted(spark, name, path)
+
+
+def _unlisted(spark: SparkSession, name: str, path: str) -> DataFrame:
+    out = spark.table(name)
+    out.schema  # noqa: B018  resolved before the entry goes; the table is external, so its files stay
+    spark.sql(f"drop table {name}")
+    out.doclathe_path = path
+    return out
+
+
+def reopened(spark: SparkSession, path: str, schema: str, buckets: int, keys: list[str]) -> DataFrame:
+    """A table that ``sharded`` has written, in another session."""
+    name, by = f"t_{uuid.uuid4().hex}", ", ".join(keys)
+    spark.sql(f"create table {name} ({schema}) using parquet clustered by ({by}) sorted by ({by}) into {buckets} buckets location '{path}'")
+    return _unlisted(spark, name, path)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete stored tables that no later plan reads."""
     for t in tables:

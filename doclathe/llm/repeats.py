@@ -2,7 +2,8 @@
 
 Every window of L tokens has an anchor: the least hash of its runs of K tokens, the first of equals. The anchor depends
 on the window's tokens alone, so equal windows have equal anchors at equal offsets, and an anchor that occurs once in
-all texts rules out every window it stands for. What is left is compared window by window, grouped by anchor.
+all texts rules out every window it stands for. What is left is compared window by window, grouped by anchor; windows of
+an anchor in very many texts are counted instead, so that no task holds its rows and no work grows with their square.
 
 Texts are worked on once for each distinct text: a table bucketed by the text's 128-bit key is joined without another
 shuffle of texts. A text with several copies repeats from end to end.
@@ -11,20 +12,20 @@ shuffle of texts. A text with several copies repeats from end to end.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, parts, rolling, shared_dir, signed, sliding_min
+from .common import mixed, parts, rolling, sharded, sliding_min, stored
 
 POSITION = 20
 LOW = np.uint64((1 << POSITION) - 1)
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
-#: An anchor in more distinct texts than this is compared in pairs of blocks of about so many texts.
-BLOCK = 2048
+#: Windows of an anchor with more rows than this are counted one by one; others are compared side by side in one task.
+HOT = 2048
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -35,11 +36,8 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def distinct_texts(docs: DataFrame) -> DataFrame:
     """k1, k2, text, copies: a table in the shared folder, bucketed by its key."""
-    spark, name = docs.sparkSession, f"texts_{uuid.uuid4().hex}"
     rows = keyed(docs).groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
-    n = parts(spark)
-    rows.write.bucketBy(n, "k1", "k2").option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd").format("parquet").saveAsTable(name)
-    return spark.table(name)
+    return sharded(rows, "texts", "k1", "k2")
 
 
 def least(keys: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,32 +78,45 @@ def anchors(tokens: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.nda
     return least_runs(rolling(tokens, k), length - k + 1)
 
 
-def anchor_rows(texts: DataFrame, tokens_of, length: int, k: int) -> DataFrame:
-    """head, k1, k2, n: how often each anchor occurs in each distinct text, copies counted."""
+def contexts_in(h: np.ndarray, place: np.ndarray, first: np.ndarray, last: np.ndarray, content: Callable[[int, int], bytes]) -> list[tuple[int, list[int]]]:
+    """(i, firsts): one of the runs with equal anchor and equal windows, and where each of them starts.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            heads, ns, row = [], [], []
-            for i, (text, copies) in enumerate(zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("copies").to_pylist())):
-                head, place, _, _ = anchors(tokens_of(text), length, k)
-                # One place can be the anchor of several runs of windows.
-                u, n = np.unique(np.unique(np.stack((head, place.astype(np.uint64)), 1), axis=0)[:, 0], return_counts=True) if len(head) else (head, place)
-                heads.append(u)
-                ns.append(n * copies)
-                row.append(np.full(len(u), i))
-            at = pa.array(np.concatenate(row).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(heads))), b.column("k1").take(at), b.column("k2").take(at), pa.array(np.concatenate(ns).astype(np.int64))], ["head", "k1", "k2", "n"])
+    ``content`` gives what tells one run's windows from another's. A text that repeats itself has few contexts."""
+    if len(np.unique(h)) == len(h):
+        return [(i, [f]) for i, f in enumerate(first.tolist())]
+    found: dict[tuple, tuple[int, list[int]]] = {}
+    for i, (x, p, f, z) in enumerate(zip(h.tolist(), place.tolist(), first.tolist(), last.tolist())):
+        found.setdefault((x, p - f, content(f, z)), (i, []))[1].append(f)
+    return list(found.values())
 
-    return texts.select("k1", "k2", "text", "copies").mapInArrow(run, "head long, k1 long, k2 long, n long")
 
+def lists(rows: list[list[int]]) -> pa.Array:
+    """Lists of longs as one Arrow array."""
+    at = np.zeros(len(rows) + 1, np.int32)
+    np.cumsum([len(r) for r in rows], out=at[1:])
+    return pa.ListArray.from_arrays(pa.array(at), pa.array([x for r in rows for x in r], pa.int64()))
 
-def blocks_of(n: int, k1: int, block: int) -> list[tuple[int, int, int]]:
-    """(_lo, _hi, _side) of the groups in which a row of an anchor of n distinct texts is compared."""
-    if n <= block:
-        return [(0, 0, 0)]
-    b = -(-n // block)
-    own = (k1 ^ (k1 >> 32)) % b
-    return [(min(own, j), max(own, j), own) for j in range(b)]
+
+def in_texts(texts: DataFrame, rows: DataFrame, *columns: Column) -> DataFrame:
+    """``rows`` (with k1, k2) beside their texts: ``rows``' columns, many (whether such a context starts at two places) and
+    ``columns``, which may use b, the text's bytes. Texts aren't shuffled."""
+    names = [c for c in rows.columns if c not in ("k1", "k2")]
+    own = rows.groupBy("k1", "k2").agg(F.collect_list(F.struct(*names)).alias("_own"))
+    both = texts.join(own, ["k1", "k2"]).select("k1", "k2", "copies", F.col("text").cast("binary").alias("b"), F.explode("_own").alias("_x"))
+    both = both.select("k1", "k2", "copies", "b", *[F.col(f"_x.{n}").alias(n) for n in names])
+    return both.select("k1", "k2", *names, ((F.col("copies") > 1) | (F.size("firsts") > 1)).alias("many"), *columns)
+
+
+def counted_spans(windows: DataFrame, length: int) -> DataFrame:
+    """k1, k2, first, last of repeated windows, by counting windows one by one.
+
+    ``windows``: h, k1, k2, firsts, many, w (hashes of a context's windows). Used for anchors in very many texts: counts are
+    partial before the shuffle, and the work grows with the rows, not with the square of an anchor's."""
+    one = windows.select("h", "k1", "k2", "firsts", "many", F.posexplode("w").alias("j", "w"))
+    again = one.groupBy("h", "w").agg(F.sum(F.when(F.col("many"), 2).otherwise(1)).alias("n")).where("n > 1").select("h", "w")
+    hit = one.join(stored(again, "repeated"), ["h", "w"]).select("k1", "k2", F.explode("firsts").alias("f"), "j")
+    first = F.col("f") + F.col("j")
+    return hit.select("k1", "k2", first.alias("first"), (first + length).alias("last"))
 
 
 def repeated(h: np.ndarray) -> np.ndarray:
@@ -120,9 +131,7 @@ def repeated(h: np.ndarray) -> np.ndarray:
 
 
 def repeated_in_group(h: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Which entries have an equal in their own group. ``starts``: each group's first row; ``sizes``: entries of each row.
-
-    A row stands in several groups of its anchor, but once in each, so it never meets itself."""
+    """Which entries have an equal in their own group. ``starts``: each group's first row; ``sizes``: entries of each row."""
     group = np.zeros(len(sizes), np.uint64)
     group[starts] = 1
     return repeated(h ^ np.repeat(mixed(np.cumsum(group, dtype=np.uint64)), sizes))

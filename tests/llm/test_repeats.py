@@ -10,7 +10,8 @@ import pytest
 from doclathe.llm import repeats
 from doclathe.llm.common import mixed, rolling, sliding_min
 from doclathe.llm.phrase_dedup import phrase_dedup
-from doclathe.llm.suffix_dedup import suffix_dedup
+from doclathe.llm.repeats import distinct_texts
+from doclathe.llm.suffix_dedup import SuffixIndex, suffix_dedup, suffixes
 
 
 def brute(seqs, length):
@@ -40,11 +41,10 @@ def some_texts(seed, n=40):
     return out + [(n, base[0]), (n + 1, base[1]), (n + 1, base[1]), (n + 2, "ab" * 200), (n + 3, "z " * 90), (n + 4, None), (n + 5, "")]
 
 
-@pytest.mark.parametrize(("seed", "block"), [(1, 2048), (2, 3)])
-def test_suffix_dedup_equals_brute_force(docs_of, monkeypatch, seed, block):
-    monkeypatch.setattr(repeats, "BLOCK", block)
+@pytest.mark.parametrize(("seed", "hot"), [(1, 2048), (2, 3)])
+def test_suffix_dedup_equals_brute_force(docs_of, seed, hot):
     rows = some_texts(seed)
-    out = sorted(map(tuple, suffix_dedup(docs_of(rows), 24, 8, 3).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept").collect()))
+    out = sorted(map(tuple, suffix_dedup(docs_of(rows), 24, 8, 3, hot=hot).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept").collect()))
     data = [(t or "").encode() for _, t in rows]
     want = []
     for (i, _), b, m in zip(rows, data, brute(data, 24)):
@@ -54,10 +54,10 @@ def test_suffix_dedup_equals_brute_force(docs_of, monkeypatch, seed, block):
     assert sum(x[2] for x in want) > 500
 
 
-@pytest.mark.parametrize("seed", [3, 4])
-def test_phrase_dedup_equals_brute_force(docs_of, seed):
+@pytest.mark.parametrize(("seed", "shard"), [(3, 20_000), (4, 1)])
+def test_phrase_dedup_equals_brute_force(docs_of, seed, shard):
     rows = some_texts(seed)
-    out = sorted(map(tuple, phrase_dedup(docs_of(rows), 9, 3).select("doc_id", "n_words", "n_removed", "kept_sha256", "kept_text").collect()))
+    out = sorted(map(tuple, phrase_dedup(docs_of(rows), 9, 3, shard=shard).select("doc_id", "n_words", "n_removed", "kept_sha256", "kept_text").collect()))
     words = [(t or "").encode().split() for _, t in rows]
     want = []
     for (i, _), w, m in zip(rows, words, brute(words, 9)):
@@ -67,6 +67,36 @@ def test_phrase_dedup_equals_brute_force(docs_of, seed):
     assert sum(x[2] for x in want) > 100
 
 
+def test_batches_meet_all_earlier_ones(spark, docs_of, tmp_path):
+    """Batches added one at a time, with the index saved and opened in between, equal one run over all rows."""
+    rows = some_texts(7)
+    docs = [docs_of(rows[i::3]) for i in range(3)]
+    index = SuffixIndex(spark, 24, 8)
+    for i, d in enumerate(docs):
+        index.add(d)
+        index.save(str(tmp_path / "index"))
+        index = SuffixIndex.open(spark, str(tmp_path / "index"))
+        assert [n for n, _ in index.family.levels] == [[1], [2], [2, 1]][i]
+        sofar = docs[0] if i == 0 else sofar.unionByName(d)  # noqa: F821
+        got = sorted(map(tuple, index.result(sofar).select("doc_id", "n_removed", "kept_sha256").collect()))
+        want = sorted(map(tuple, suffix_dedup(sofar, 24, 8).select("doc_id", "n_removed", "kept_sha256").collect()))
+        assert got == want
+    for _, level in index.family.levels:
+        heads = [bytes(r[0]) for r in level.select("prefix").collect()]
+        assert len(heads) == len(set(heads)) > 0
+    index.dropped()
+
+
+def test_levels_meet_without_a_shuffle(docs_of):
+    index = SuffixIndex(docs_of([]).sparkSession, 24, 8)
+    for d in (docs_of(some_texts(8)), docs_of(some_texts(9))):
+        new = index.family._array(suffixes(distinct_texts(d), 24, 8))
+        index.family.levels.append((1, new))
+    (_, a), (_, b) = index.family.levels
+    plan = a.join(b.hint("merge"), "prefix", "left_semi")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
 def test_odd_texts(docs_of, odd_texts):
     key = lambda r: tuple((x is None, x or 0) for x in r)
     got = sorted((tuple(r) for r in suffix_dedup(docs_of(odd_texts)).select("doc_id", "n_bytes", "n_removed").collect()), key=key)
