@@ -37,10 +37,10 @@ def some_rows():
     return rows + [(None, LONG), (None, None), (3, LONG), (39, LONG), (50, "")]
 
 
-@pytest.mark.parametrize("carried", [250_000, 0])
-def test_line_dedup_equals_brute_force(docs_of, carried):
+@pytest.mark.parametrize(("carried", "sieve"), [(200_000, 1 << 20), (0, 1 << 20), (0, 0)])
+def test_line_dedup_equals_brute_force(docs_of, carried, sieve):
     rows = some_rows()
-    out = line_dedup(docs_of(rows), broadcast_keys=carried, also=("keeper", "_row"))
+    out = line_dedup(docs_of(rows), broadcast_rows=carried, sieve_bytes=sieve, also=("keeper", "_row"))
     got = [(r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_text"]) for r in out.collect()]
     key = lambda t: tuple((x is None, x if x is not None else 0) for x in t)
     assert sorted(got, key=key) == sorted(brute(rows), key=key)
@@ -54,30 +54,54 @@ def test_odd_texts_and_empty_tables(docs_of, odd_texts):
     assert line_dedup(docs_of([])).count() == 0
 
 
+def filter_cells(index):
+    """What each shard's filter holds, wherever in its two buckets it is."""
+    out = {}
+    for r in index.filters.collect():
+        f = CuckooFilter.load(r["data"])
+        out[r["shard"]] = f.n, sorted((v, min(i // 4, i // 4 ^ f._jump(v, m)), m) for m, cells in f.parts for i, v in enumerate(cells) if v)
+    return {k: v for k, v in out.items() if v[0]}
+
+
 def test_index_is_reversible(docs_of, spark):
+    """Deletion undoes insertion in postings, counts, filters and output; insertion equals a new index."""
     docs = docs_of(some_rows()[:40])
-    new = docs_of([(100 + i, LONG + f" {i % 3}") for i in range(9)])
-    index = LineIndex.over(docs)
-    counts = lambda x: sorted(map(tuple, x.counts().collect()))
+    new = docs_of([(100 + i, LONG + f" {i % 3}\nnew line that becomes frequent by this insertion") for i in range(9)])
+    both = docs.unionByName(new)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    index = LineIndex.over(docs, shard_keys=2)
+    assert index.shards > 1
     grown = index.insert(new)
-    assert counts(grown) != counts(index)
-    assert counts(grown.delete(new.select("doc_id"))) == counts(index)
-    assert counts(grown) == counts(LineIndex.over(docs.unionByName(new)))
+    assert rows(grown.counts) != rows(index.counts) and filter_cells(grown) != filter_cells(index)
+    whole = LineIndex.over(both, shard_keys=2)
+    assert rows(grown.counts) == rows(whole.counts) and rows(grown.postings) == rows(whole.postings)
+    assert rows(line_dedup(both, grown)) == rows(line_dedup(both))
+    keys = [(r["h1"], r["h2"]) for r in grown.frequent().collect()]
+    h1, h2 = (np.array([k[j] for k in keys]) for j in (0, 1))
+    assert grown.sieve().contains(h1, h2).all() and not index.sieve().contains(h1, h2).all()
+    back = grown.delete(new.select("doc_id"))
+    assert rows(back.counts) == rows(index.counts) and rows(back.postings) == rows(index.postings)
+    assert filter_cells(back) == filter_cells(index)
+    assert rows(line_dedup(docs, back)) == rows(line_dedup(docs))
+    none = back.delete(docs.select("doc_id"))
+    assert none.counts.count() == none.postings.count() == 0 and filter_cells(none) == {}
 
 
 def test_cuckoo_filter():
     rng = np.random.default_rng(0)
     own = rng.integers(-(1 << 62), 1 << 62, 3000)
     other = rng.integers(-(1 << 62), 1 << 62, 20_000)
-    f = CuckooFilter(len(own))
-    for h in own.tolist():
-        f.add(h)
-    assert f.contains(own).all()
-    assert f.contains(other).mean() < 0.001
-    for h in own[:1500].tolist():
-        assert f.remove(h)
-    assert f.contains(own[1500:]).all() and f.contains(own[:1500]).mean() < 0.01
-    assert not f.remove(12345)
+    for capacity in (len(own), 10):  # the second has to grow
+        f = CuckooFilter(capacity)
+        for h in own.tolist():
+            f.add(h)
+        f = CuckooFilter.load(f.dump())
+        assert f.contains(own).all() and f.n == len(own)
+        assert f.contains(other).mean() < 0.005
+        for h in own[:1500].tolist():
+            assert f.remove(h)
+        assert f.contains(own[1500:]).all() and f.contains(own[:1500]).mean() < 0.02
+        assert not CuckooFilter(4).remove(12345)
     full = CuckooFilter(1)
     for _ in range(20):
         full.add(7)  # more than two buckets hold
