@@ -5,7 +5,8 @@ words and occur at least twice form the dictionary of phrases. It is cut into sh
 compiled to one automaton; every document is streamed, piece by piece, through the automata of the shards that its
 anchors name, and every occurrence of a phrase is located there. The windows around the occurrences of a phrase then
 stand side by side in the shard's task, are compared in full, and every window that also starts elsewhere is cut. A
-phrase in very many texts has shards of its own, each with a share of the documents, and its windows are counted.
+phrase in very many texts has shards of its own, each with a share of the documents, and ``by_content`` and
+``counted_spans`` do the rest.
 
 Defined cases: null and empty texts have no words; texts of fewer than WINDOW words lose nothing; rows with equal ids or
 texts are separate documents; an empty table gives an empty result; other columns are ignored.
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import repeats
 from .common import Memo, dropped, parts, rolling, signed, stored, tuned
-from .repeats import anchors, contexts_in, counted_spans, covered, distinct_texts, in_texts, keyed, lists, merged, repeated_in_group, spans_batch
+from .repeats import anchors, by_content, contexts_in, counted_spans, covered, distinct_texts, in_texts, keyed, lists, merged, repeated_in_group, spans_batch
 
 WINDOW, PHRASE = 35, 8
 #: Phrases of one automaton, at most about so many.
@@ -99,24 +100,22 @@ def dealt(texts: DataFrame, rows: DataFrame, shards: int, hot: int) -> DataFrame
     entry = lambda kind, salt: F.struct(F.lit(kind).alias("kind"), salt.alias("salt"))
     kinds = F.when(F.col("named"), F.concat(F.array(entry(1, own)), F.transform(F.sequence(F.lit(0), salts - 1), lambda x: entry(0, x)))).otherwise(F.array(entry(1, own)))
     s = F.substring("b", F.col("start") + 1, F.col("stop") - F.col("start")).alias("s")
-    both = in_texts(texts, rows.select("h", "k1", "k2", "before", "firsts", "start", "stop", "rows", "named"), s)
-    both = both.select("h", "k1", "k2", "before", "firsts", "many", "s", shard.alias("shard"), F.explode(kinds).alias("_e"))
-    both = both.select("shard", "_e.salt", "_e.kind", "h", "k1", "k2", "before", "firsts", "many", "s")
+    both = in_texts(texts, rows.select("h", "k1", "k2", "before", "size", "firsts", "start", "stop", "rows", "named", "again"), s)
+    both = both.select("h", "k1", "k2", "before", "size", "firsts", "start", "stop", "many", "s", shard.alias("shard"), F.explode(kinds).alias("_e"))
+    both = both.select("shard", "_e.salt", "_e.kind", "h", "k1", "k2", "before", "size", "firsts", "start", "stop", "many", "s")
     n = parts(texts.sparkSession)
     return both.repartition(n, "shard", "salt").sortWithinPartitions("shard", "salt", "kind", "h")
 
 
-PIECES = ["h", "k1", "k2", "firsts", "many", "w"]
-
-
 def located(batches: Iterator[pa.RecordBatch], window: int, phrase: int) -> Iterator[list[tuple]]:
-    """Pieces in which the automaton of their shard finds their phrase, with the hashes of their windows (w)."""
+    """Pieces in which the automaton of their shard finds their phrase: h, k1, k2, firsts, many, w (hashes of the windows),
+    before, size, start, stop."""
     phrases: dict[str, int] = {}
     a = at = None
     for b in batches:
         out = []
-        cols = (b.column(c).to_pylist() for c in ("shard", "salt", "kind", "h", "k1", "k2", "before", "firsts", "many", "s"))
-        for shard, salt, kind, h, k1, k2, before, firsts, many, s in zip(*cols):
+        cols = (b.column(c).to_pylist() for c in ("shard", "salt", "kind", "h", "k1", "k2", "before", "size", "firsts", "start", "stop", "many", "s"))
+        for shard, salt, kind, h, k1, k2, before, size, firsts, start, stop, many, s in zip(*cols):
             if (shard, salt) != at:
                 phrases, a, at = {}, None, (shard, salt)
             words = s.split()
@@ -127,7 +126,7 @@ def located(batches: Iterator[pa.RecordBatch], window: int, phrase: int) -> Iter
                 a = automaton(phrases)
             end = len(b" ".join(words[: before + phrase]).decode()) + 1
             if any(e == end and x == h for e, x in a.iter(f" {b' '.join(words).decode()} ")):
-                out.append((h, k1, k2, firsts, many, rolling(hashed_words(words), window)))
+                out.append((h, k1, k2, firsts, many, rolling(hashed_words(words), window), before, size, start, stop))
         yield out
 
 
@@ -136,7 +135,7 @@ def repeated_windows(texts: DataFrame, rows: DataFrame, window: int, phrase: int
     heads = rows.groupBy("h").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows"), F.min(F.struct("k1", "k2")).alias("k")).where("n > 1")
     heads = stored(heads.select("h", "rows", F.col("k.k1").alias("n1"), F.col("k.k2").alias("n2")), "phrases")
     known = heads.agg(F.count(F.lit(1)).alias("n"), F.max("rows").alias("most")).first()
-    suspects = stored(rows.join(heads, "h").withColumn("named", (F.col("k1") == F.col("n1")) & (F.col("k2") == F.col("n2"))).drop("n1", "n2", "n"), "suspects")
+    suspects = stored(rows.join(heads, "h").withColumn("named", (F.col("k1") == F.col("n1")) & (F.col("k2") == F.col("n2"))).withColumn("again", F.lit(False)).drop("n1", "n2", "n"), "suspects")
     shards = max(parts(texts.sparkSession), -(-known["n"] // shard))
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,19 +160,30 @@ def repeated_windows(texts: DataFrame, rows: DataFrame, window: int, phrase: int
         if held:
             yield from flush(held)
 
-    spans = dealt(texts, suspects.where(F.col("rows") <= hot), shards, hot).mapInArrow(compared, "k1 long, k2 long, first long, last long")
-    if (known["most"] or 0) <= hot:
-        return spans
+    def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in located(batches, window, phrase):
+            c = [np.frombuffer(xxhash.xxh3_128_digest(r[5].tobytes()), np.int64) for r in rows]
+            whole = [(r[0], r[1], r[2], r[6], r[7], r[8], r[9], int(x), int(y)) for r, (x, y) in zip(rows, c)]
+            cols = [pa.array([r[j] for r in whole], k) for j, k in enumerate([pa.int64()] * 3 + [pa.int32()] * 4 + [pa.int64()] * 2)]
+            yield pa.RecordBatch.from_arrays([*cols, lists([r[3] for r in rows])], ["h", "k1", "k2", "before", "size", "start", "stop", "c1", "c2", "firsts"])
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in located(batches, window, phrase):
-            w = [signed(r[5]) for r in rows]
-            at = np.concatenate(([0], np.cumsum([len(x) for x in w]))).astype(np.int32)
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([*(pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([*w, np.empty(0, np.int64)])))], PIECES)
+            yield pa.RecordBatch.from_arrays([*(pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)), lists([signed(r[5]).tolist() for r in rows])], ["h", "k1", "k2", "firsts", "many", "w"])
 
-    many = dealt(texts, suspects.where(F.col("rows") > hot), shards, hot).mapInArrow(listed, "h long, k1 long, k2 long, firsts array<long>, many boolean, w array<long>")
-    return spans.unionByName(counted_spans(many, window))
+    spans = "k1 long, k2 long, first long, last long"
+    out = dealt(texts, suspects.where(F.col("rows") <= hot), shards, hot).mapInArrow(compared, spans)
+    if (known["most"] or 0) <= hot:
+        return out
+    many = dealt(texts, suspects.where(F.col("rows") > hot), shards, hot).mapInArrow(contents, "h long, k1 long, k2 long, before int, size int, start int, stop int, c1 long, c2 long, firsts array<long>")
+    left, whole = by_content(stored(many, "contexts"), window, hot)
+    left = left.withColumn("named", F.lit(True))
+    out = out.unionByName(whole).unionByName(dealt(texts, left.where(F.col("rows") <= hot), shards, hot).mapInArrow(compared, spans))
+    if (more := left.where(F.col("rows") > hot)).isEmpty():
+        return out
+    more = dealt(texts, more, shards, hot).mapInArrow(listed, "h long, k1 long, k2 long, firsts array<long>, many boolean, w array<long>")
+    return out.unionByName(counted_spans(more, window))
 
 
 def cut_words(texts: DataFrame, spans: DataFrame, window: int, with_text: bool) -> DataFrame:
@@ -197,8 +207,7 @@ def cut_words(texts: DataFrame, spans: DataFrame, window: int, with_text: bool)
 def phrase_dedup(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, with_text: bool = True, hot: int | None = None, shard: int = SHARD) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept_text (null without ``with_text``) of each row.
 
-    A phrase with more than ``hot`` passages (default: ``repeats.HOT``) is dealt out to several tasks and has its windows
-    counted; an automaton holds about ``shard`` phrases at most. The result is a table; all others are deleted."""
+    A phrase with more than ``hot`` passages (default: ``repeats.HOT``) is dealt out to several tasks; an automaton holds about ``shard`` phrases at most. The result is a table; all others are deleted."""
     tuned(docs.sparkSession, size="2m")
     texts = distinct_texts(docs)
     rows = stored(phrase_rows(texts, window, phrase), "anchors")

@@ -2,8 +2,9 @@
 
 Every window of L tokens has an anchor: the least hash of its runs of K tokens, the first of equals. The anchor depends
 on the window's tokens alone, so equal windows have equal anchors at equal offsets, and an anchor that occurs once in
-all texts rules out every window it stands for. What is left is compared window by window, grouped by anchor; windows of
-an anchor in very many texts are counted instead, so that no task holds its rows and no work grows with their square.
+all texts rules out every window it stands for. What is left is compared window by window, grouped by anchor. Of an
+anchor in very many texts, one context of each content is left first; if these are still too many for a task, their
+windows are counted one by one, so that no work grows with the square of a group.
 
 Texts are worked on once for each distinct text: a table bucketed by the text's 128-bit key is joined without another
 shuffle of texts. A text with several copies repeats from end to end.
@@ -11,7 +12,6 @@ shuffle of texts. A text with several copies repeats from end to end.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -24,7 +24,7 @@ from .common import mixed, parts, rolling, sharded, sliding_min, stored
 POSITION = 20
 LOW = np.uint64((1 << POSITION) - 1)
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
-#: Windows of an anchor with more rows than this are counted one by one; others are compared side by side in one task.
+#: Rows of an anchor that are compared side by side in one task, at most.
 HOT = 2048
 
 
@@ -98,20 +98,21 @@ def lists(rows: list[list[int]]) -> pa.Array:
 
 
 def in_texts(texts: DataFrame, rows: DataFrame, *columns: Column) -> DataFrame:
-    """``rows`` (with k1, k2) beside their texts: ``rows``' columns, many (whether such a context starts at two places) and
-    ``columns``, which may use b, the text's bytes. Texts aren't shuffled."""
+    """``rows`` (with k1, k2) beside their texts: ``rows``' columns, many (whether such a context starts at two places, as
+    known from here or from again) and ``columns``, which may use b, the text's bytes. Texts aren't shuffled."""
     names = [c for c in rows.columns if c not in ("k1", "k2")]
     own = rows.groupBy("k1", "k2").agg(F.collect_list(F.struct(*names)).alias("_own"))
     both = texts.join(own, ["k1", "k2"]).select("k1", "k2", "copies", F.col("text").cast("binary").alias("b"), F.explode("_own").alias("_x"))
     both = both.select("k1", "k2", "copies", "b", *[F.col(f"_x.{n}").alias(n) for n in names])
-    return both.select("k1", "k2", *names, ((F.col("copies") > 1) | (F.size("firsts") > 1)).alias("many"), *columns)
+    many = (F.col("copies") > 1) | (F.size("firsts") > 1)
+    return both.select("k1", "k2", *names, (many | F.col("again") if "again" in names else many).alias("many"), *columns)
 
 
 def counted_spans(windows: DataFrame, length: int) -> DataFrame:
     """k1, k2, first, last of repeated windows, by counting windows one by one.
 
-    ``windows``: h, k1, k2, firsts, many, w (hashes of a context's windows). Used for anchors in very many texts: counts are
-    partial before the shuffle, and the work grows with the rows, not with the square of an anchor's."""
+    ``windows``: h, k1, k2, firsts, many, w (hashes of a context's windows). Counts are partial before the shuffle, and the
+    work grows with the rows, not with the square of an anchor's."""
     one = windows.select("h", "k1", "k2", "firsts", "many", F.posexplode("w").alias("j", "w"))
     again = one.groupBy("h", "w").agg(F.sum(F.when(F.col("many"), 2).otherwise(1)).alias("n")).where("n > 1").select("h", "w")
     hit = one.join(stored(again, "repeated"), ["h", "w"]).select("k1", "k2", F.explode("firsts").alias("f"), "j")
@@ -119,6 +120,20 @@ def counted_spans(windows: DataFrame, length: int) -> DataFrame:
     return hit.select("k1", "k2", first.alias("first"), (first + length).alias("last"))
 
 
+def by_content(contexts: DataFrame, length: int, hot: int) -> tuple[DataFrame, DataFrame]:
+    """What is left to compare of anchors in very many texts, and the spans that are known.
+
+    ``contexts`` (a table): h, k1, k2, size, firsts, c1, c2 (hash of the content) and more. Contexts of equal content repeat
+    from end to end. One of each content is left, with again (whether there are others) and rows (of its anchor)."""
+    classes = stored(contexts.groupBy("h", "c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2")).alias("one")), "contents")
+    both = contexts.join(classes, ["h", "c1", "c2"])
+    known = both.where("n > 1").select("k1", "k2", F.explode("firsts").alias("first"), "size")
+    known = known.select("k1", "k2", "first", (F.col("first") + F.col("size") - 1 + length).alias("last"))
+    left = both.where((F.col("k1") == F.col("one.k1")) & (F.col("k2") == F.col("one.k2")))
+    rows = classes.groupBy("h").agg(F.count(F.lit(1)).alias("rows"))
+    return stored(left.withColumn("again", F.col("n") > 1).drop("n", "one", "c1", "c2").join(rows, "h"), "left"), known
+
+
 def repeated(h: np.ndarray) -> np.ndarray:
     """Which entries have an equal."""
     order = np.argsort(h)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from . import repeats
 from .common import dropped, mixed, parts, reopened, rolling, sharded, signed, stored, tuned
 from .links import grouped_runs
-from .repeats import anchors, contexts_in, counted_spans, covered, distinct_texts, in_texts, keyed, lists, merged, repeated_in_group, spans_batch
+from .repeats import anchors, by_content, contexts_in, counted_spans, covered, distinct_texts, in_texts, keyed, lists, merged, repeated_in_group, spans_batch
 
 LENGTH, HEAD, BATCHES = 400, 32, 4
 with np.errstate(over="ignore"):
@@ -186,7 +186,7 @@ class SuffixIndex:
 
 def long_matches(texts: DataFrame, suspects: DataFrame, length: int, hot: int) -> DataFrame:
     """k1, k2, first, last of bytes in strings of ``length`` bytes that also start elsewhere; ``suspects``: h, k1, k2, size,
-    firsts of the suffixes whose head recurs. Heads with more than ``hot`` rows have their strings counted."""
+    firsts of the suffixes whose head recurs. See ``by_content`` for heads with more than ``hot`` rows."""
     large = stored(suspects.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > hot).select("h"), "large")
     s = F.substring("b", (F.element_at("firsts", 1) + 1).cast("int"), F.col("size") - 1 + length).alias("s")
 
@@ -205,10 +205,9 @@ def long_matches(texts: DataFrame, suspects: DataFrame, length: int, hot: int) -
         flag = repeated_in_group(w, starts, sizes) | np.repeat(np.asarray(c["many"]), sizes)
         return spans_batch(c, flag, sizes, length)
 
-    cold = suspects.join(large, "h", "left_anti")
-    out = grouped_runs(in_texts(texts, cold, s).drop("size"), ["h"], kernel, "k1 long, k2 long, first long, last long", at_most=4000)
-    if large.isEmpty():
-        return out
+    def compared(rows: DataFrame) -> DataFrame:
+        rows = in_texts(texts, rows, s).select("h", "k1", "k2", "firsts", "many", "s")
+        return grouped_runs(rows, ["h"], kernel, "k1 long, k2 long, first long, last long", at_most=4000)
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -218,7 +217,15 @@ def long_matches(texts: DataFrame, suspects: DataFrame, length: int, hot: int) -
                 at = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("h", "k1", "k2", "firsts", "many")), pa.ListArray.from_arrays(pa.array(at), pa.array(signed(w)))], ["h", "k1", "k2", "firsts", "many", "w"])
 
-    rows = in_texts(texts, suspects.join(large, "h"), s).mapInArrow(listed, "h long, k1 long, k2 long, firsts array<long>, many boolean, w array<long>")
+    if large.isEmpty():
+        return compared(suspects)
+    out = compared(suspects.join(large, "h", "left_anti"))
+    contexts = in_texts(texts, suspects.join(large, "h"), F.xxhash64(s).alias("c1"), F.xxhash64(F.lit(1), s).alias("c2")).drop("many")
+    left, known = by_content(stored(contexts, "contexts"), length, hot)
+    out = out.unionByName(known).unionByName(compared(left.where(F.col("rows") <= hot)))
+    if (more := left.where(F.col("rows") > hot)).isEmpty():
+        return out
+    rows = in_texts(texts, more, s).mapInArrow(listed, "h long, k1 long, k2 long, firsts array<long>, many boolean, w array<long>")
     return out.unionByName(counted_spans(rows, length))
 
 
@@ -241,8 +248,8 @@ def cut_bytes(texts: DataFrame, spans: DataFrame, length: int, with_text: bool)
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, head: int = HEAD, batches: int = BATCHES, with_text: bool = True, hot: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes), firsts, lasts (removed spans) of each row; the
-    last three are null without ``with_text``. Heads with more than ``hot`` suffixes (default: ``repeats.HOT``) have their
-    strings counted instead of compared side by side. The result is a table; all others are deleted."""
+    last three are null without ``with_text``. ``hot`` (default: ``repeats.HOT``) is the number of suffixes with one head
+    that are compared side by side in a task at most. The result is a table; all others are deleted."""
     index = SuffixIndex(docs.sparkSession, length, head)
     index.add_all(docs, batches)
     out = stored(index.result(docs, with_text, hot), "suffix-dedup")
