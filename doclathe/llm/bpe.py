@@ -2,9 +2,10 @@
 
 A text of more than CHUNK characters is cut into chunks that overlap. Chunks are pre-tokenised in parallel, each from
 its own start, which may lie inside a pre-token. A scan for pre-tokens looks only ahead, so two scans that share one
-boundary agree from there on: at the first boundary that both chunks have in their overlap the text is cut, and the
-pieces between cuts are encoded on their own. Where an overlap holds no common boundary (a run without any pre-token
-boundary), the left scan goes on until it meets one of the right chunk's. Decoding concatenates the tokens' bytes.
+boundary agree from there on: at the first boundary that both chunks have in their overlap the text is cut. The pieces
+between cuts are encoded in parallel, and only their ids come together, by order, for the text's digests; decoding
+concatenates the tokens' bytes. Where an overlap holds no common boundary (a run of more than OVERLAP characters without
+any), what follows isn't known to be in step: the text from the last cut on is then one piece.
 
 Defined cases: null counts as the empty text (no tokens); a repeated row or id is a row of its own; an empty table gives
 an empty result; strings that look like special tokens are ordinary text; other columns pass only if asked for.
@@ -20,7 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import parts, stored, tuned
@@ -80,43 +81,39 @@ def scan(bpe: ByteBpe, at: int, piece: str, total: int, chunk: int, overlap: int
     return head, tail
 
 
-def stitch(bpe: ByteBpe, text: str, scans: list[tuple[int, list[int], list[int]]]) -> list[int]:
-    """Cuts at which the chunks' scans fall in step; (offset, head, tail) of each chunk, in order."""
+def stitch(scans: list[tuple[int, list[int], list[int]]]) -> list[int]:
+    """Where the pieces of one text start; (offset, head, tail) of each chunk, in order. ``piece_starts`` in plain Python."""
     cuts = [0]
-    for (before, _, tail), (at, head, _) in zip(scans, scans[1:]):
-        if cuts[-1] >= at:
-            continue  # an earlier search has run past this chunk's start
+    for (_, _, tail), (_, head, _) in zip(scans, scans[1:]):
         held = set(head)
-        # The left chunk's scan is in step with the text's own from a cut within the chunk on.
-        found = next((b for b in tail if b in held), None) if cuts[-1] >= before else None
-        if found is None:
-            left, right = _from(bpe, text, cuts[-1]), _from(bpe, text, at)
-            a, b = next(left, None), next(right, None)
-            while a is not None and b is not None and a != b:
-                if a < b:
-                    a = next(left, None)
-                else:
-                    b = next(right, None)
-            found = a if a == b else None
-        if found is not None:
-            cuts.append(found)
+        if (found := next((b for b in tail if b in held), None)) is None:
+            break
+        cuts.append(found)
     return cuts
 
 
-def _from(bpe: ByteBpe, text: str, start: int) -> Iterator[int]:
-    return (m.start() for m in bpe.pattern.finditer(text, start))
-
-
 def pieces(text: str, cuts: list[int]) -> Iterator[str]:
     for a, b in zip(cuts, [*cuts[1:], len(text)]):
         yield text[a:b]
 
 
-def digest(bpe: ByteBpe, parts_of: Iterator[str], with_ids: bool) -> tuple:
+def piece_starts(scans: DataFrame) -> DataFrame:
+    """_row, at, no (of the piece a chunk's text belongs to), begin, end (of that piece's part; end null: the text's end).
+
+    ``scans``: _row, at, head, tail of each chunk. Only boundaries in overlaps are moved."""
+    order = Window.partitionBy("_row").orderBy("at")
+    rows = scans.withColumn("end", F.get(F.array_intersect("tail", F.coalesce(F.lead("head").over(order), F.array().cast("array<long>"))), F.lit(0)))
+    # A cut counts as long as none is missing before it.
+    sofar = F.max(F.col("end").isNull()).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.withColumn("end", F.when(~sofar, F.col("end")))
+    rows = rows.withColumn("begin", F.coalesce(F.lag("end").over(order), F.lit(0)).cast("long"))
+    return rows.withColumn("no", F.sum(F.when(F.lag("end").over(order).isNull(), 0).otherwise(1)).over(order)).select("_row", "at", "no", "begin", "end")
+
+
+def digest(bpe: ByteBpe, parts_of: Iterator[list[int]], with_ids: bool) -> tuple:
     """n_tokens, sha256 of the ids, sha256 of the decoded bytes, and the ids where asked for."""
     n, of_ids, of_bytes, ids = 0, hashlib.sha256(), hashlib.sha256(), [np.empty(0, np.int32)]
-    for p in parts_of:
-        got = bpe.encode(p)
+    for got in parts_of:
         if got:
             of_ids.update(("," * (n > 0) + ",".join(map(str, got))).encode())
             of_bytes.update(bpe.decode(got))
@@ -144,7 +141,7 @@ def bpe_encode(docs: DataFrame, vocabulary: str, pattern: str, chunk: int = CHUN
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ByteBpe.of(*held.value)
         for b in batches:
-            rows = [(d, *digest(bpe, iter([t]), with_ids)) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            rows = [(d, *digest(bpe, iter([bpe.encode(t)]), with_ids)) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)], names)
 
     short = base.where(F.length("text") <= chunk).mapInArrow(whole, OUT)
@@ -160,20 +157,30 @@ def bpe_encode(docs: DataFrame, vocabulary: str, pattern: str, chunk: int = CHUN
         bpe = ByteBpe.of(*held.value)
         for b in batches:
             found = [scan(bpe, at, p, n, chunk, overlap) for at, p, n in zip(b.column("at").to_pylist(), b.column("piece").to_pylist(), b.column("total").to_pylist())]
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([x[j] for x in found], pa.list_(pa.int64())) for j in (0, 1))], [*b.schema.names, "head", "tail"])
+            yield pa.RecordBatch.from_arrays([b.column("_row"), b.column("at"), *(pa.array([x[j] for x in found], pa.list_(pa.int64())) for j in (0, 1))], ["_row", "at", "head", "tail"])
 
-    def joined(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        bpe = ByteBpe.of(*held.value)
+    def encoded(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        """One piece, from one chunk or from several that are not in step."""
         rows = rows.sort_values("at")
-        text = "".join(p[:chunk] for p in rows["piece"])
-        cuts = stitch(bpe, text, list(zip(rows["at"].tolist(), map(list, rows["head"]), map(list, rows["tail"]))))
-        n, a, b, ids = digest(bpe, pieces(text, cuts), with_ids)
-        doc_id = rows["doc_id"].iloc[0]
-        return pd.DataFrame({"doc_id": pd.array([None if pd.isna(doc_id) else int(doc_id)], "Int64"), "n_tokens": [n], "ids_sha256": [a], "decoded_sha256": [b], "ids": [ids]})
+        at, begin, end = rows["at"].iloc[0], rows["begin"].iloc[0], rows["end"].iloc[-1]
+        text = "".join([*(p[:chunk] for p in rows["piece"].iloc[:-1]), rows["piece"].iloc[-1]])
+        stop = len(text) if pd.isna(end) else int(end) - at
+        return pd.DataFrame({"_row": [key[0]], "doc_id": _id(rows), "no": [key[1]], "ids": [ByteBpe.of(*held.value).encode(text[int(begin) - at : stop])]})
+
+    def joined(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("no")
+        n, a, b, ids = digest(ByteBpe.of(*held.value), (x.tolist() for x in rows["ids"]), with_ids)
+        return pd.DataFrame({"doc_id": _id(rows), "n_tokens": [n], "ids_sha256": [a], "decoded_sha256": [b], "ids": [ids]})
 
     shape = "_row long, doc_id long, at long, total long, piece string"
-    cuts = long.withColumn("_row", F.monotonically_increasing_id()).mapInArrow(cut, shape)
     # Written, so that a row's number is the same for all its chunks even if an executor is lost.
-    cuts = stored(cuts, "chunks")
-    scanned = cuts.repartition(parts(spark), "_row", "at").mapInArrow(pretokenise, shape + ", head array<long>, tail array<long>")
-    return short.unionByName(scanned.groupBy("_row").applyInPandas(joined, OUT))
+    cuts = stored(long.withColumn("_row", F.monotonically_increasing_id()).mapInArrow(cut, shape).repartition(parts(spark), "_row", "at"), "chunks")
+    scans = cuts.mapInArrow(pretokenise, "_row long, at long, head array<long>, tail array<long>")
+    of = cuts.join(piece_starts(scans), ["_row", "at"])
+    ids = of.groupBy("_row", "no").applyInPandas(encoded, "_row long, doc_id long, no long, ids array<int>")
+    return short.unionByName(ids.groupBy("_row").applyInPandas(joined, OUT))
+
+
+def _id(rows: pd.DataFrame) -> pd.array:
+    x = rows["doc_id"].iloc[0]
+    return pd.array([None if pd.isna(x) else int(x)], "Int64")

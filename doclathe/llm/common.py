@@ -80,6 +80,23 @@ def dropped(*tables: DataFrame) -> None:
             where.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: So many rows of a table may be sent to all tasks; beyond, it is joined by key.
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A stored table, to be broadcast if it has at most so many rows."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    name, have = f"_{name}", {c.lower() for c in df.columns}
+    while name in have:
+        name += "_"
+    return name
+
+
 def tuned(spark: SparkSession, records: int = 10_000, size: str = "4m") -> None:
     """Arrow batches are bounded by bytes, so that very long texts travel in batches of a few rows."""
     ship(spark)

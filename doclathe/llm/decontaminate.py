@@ -1,33 +1,39 @@
 """Benchmark decontamination by template canonicalisation.
 
 Words become template tokens: numbers, units and names turn into typed placeholders, other words into lower case
-without outer punctuation. The hashed windows of WINDOW template tokens of all benchmark items form a table that texts
-are joined with by hash. An item leaks into a text if at least COVERAGE of its windows are found and its slots agree: each
-value in a slot of the item stands for one value throughout the text, for CONSISTENT of all slots. So a question whose
-numbers or names were exchanged throughout is found, and a text that only shares its wording isn't.
+without outer punctuation. The hashed windows of WINDOW template tokens of all benchmark items form a table, and the windows
+of all texts are joined with it by hash. An item leaks into a text if at least COVERAGE of its windows are found and its
+slots agree along the alignment that most windows share: each value in a slot of the item stands for one value there, for
+CONSISTENT of all slots. So a question whose numbers or names were exchanged throughout is found, and a text that only
+shares its wording isn't.
+
+Nothing of the benchmark comes to the driver but counts. Its window table is broadcast up to BROADCAST_WINDOWS windows and
+joined in a shuffle beyond.
 
 Defined cases: null and empty texts and items match nothing; an item shorter than a window is one window of its own
-length, and is ignored below LEAST words; items with equal ids are separate items; an empty benchmark leaks nowhere;
-a token is a name if it starts in upper case within a sentence; other columns are ignored.
+length, and is ignored below LEAST words; items with equal ids are separate items, and a window of several items counts
+for each; rows with equal ids are separate rows, and equal rows have equal leaks; an empty benchmark leaks nowhere; a token
+is a name if it starts in upper case within a sentence; other columns, of both tables, are ignored.
 """
 
 from __future__ import annotations
 
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Held, Memo, rolling, tuned
+from .common import Memo, dropped, mixed, rolling, signed, small, stored, tuned, unused
 from .toxicity import EDGES
 
 WINDOW, COVERAGE, CONSISTENT, LEAST = 8, 0.5, 0.8, 5
-#: Windows of the benchmark that travel with the tasks at once; a larger one is compared in blocks of items.
-BLOCK_WINDOWS = 1_000_000
+#: So many distinct windows of the benchmark may be sent to all tasks (8 bytes each).
+BROADCAST_WINDOWS = 2_000_000
 NUMBER = re.compile(r"[+-]?\d[\d.,:/]*(?:st|nd|rd|th|%|k|m)?")
 #: Unit words.
 UNITS = frozenset("mm cm m km in ft yd mi mg g kg lb oz ml cl l gal s sec min h hr hrs ms hz khz mhz ghz w kw mw v a c f k j kj cal kcal pa kpa bar mph kmh meter meters metre metres mile miles inch inches foot feet gram grams kilogram kilograms pound pounds ounce ounces liter liters litre litres second seconds minute minutes hour hours day days week weeks month months year years dollar dollars euro euros cent cents percent degree degrees".split())
@@ -67,121 +73,110 @@ def template(words: list[str]) -> np.ndarray:
     return h
 
 
-class Templates:
-    """The windows of some benchmark items, sorted by hash."""
-
-    def __init__(self, items: list[tuple[int | None, str]], window: int = WINDOW, least: int = LEAST):
-        self.items, self.words, self.lengths = [], [], set()
-        hashes, owner, place = [], [], []
-        self.size = []
-        for item_id, text in items:
-            words = (text or "").split()
-            if len(words) < least:
-                continue
-            n = min(window, len(words))
-            self.lengths.add(n)
-            w = rolling(template(words), n)
-            hashes.append(w)
-            owner.append(np.full(len(w), len(self.items)))
-            place.append(np.arange(len(w)))
-            self.size.append((n, len(np.unique(w))))
-            self.items.append(item_id)
-            self.words.append(words)
-        join = lambda x, t: np.concatenate(x) if x else np.empty(0, t)
-        h, self.owner, self.place = join(hashes, np.uint64), join(owner, np.int64), join(place, np.int64)
-        order = np.argsort(h, kind="stable")
-        self.h, self.owner, self.place = h[order], self.owner[order], self.place[order]
-        self.templates = [template(w) for w in self.words]
-
-    def leaks(self, text: str, coverage: float = COVERAGE, consistent: float = CONSISTENT) -> list[dict]:
-        words = (text or "").split()
-        if not words or not len(self.h):
-            return []
-        doc, found = None, defaultdict(list)
-        for n in self.lengths:
-            if len(words) < n:
-                continue
-            doc = template(words) if doc is None else doc
-            w = rolling(doc, n)
-            lo = np.searchsorted(self.h, w)
-            hit = np.flatnonzero(self.h[np.minimum(lo, len(self.h) - 1)] == w)
-            for p in hit.tolist():
-                i = int(lo[p])
-                while i < len(self.h) and self.h[i] == w[p]:
-                    o = int(self.owner[i])
-                    if self.size[o][0] == n:
-                        found[o].append((p, int(self.place[i]), int(self.h[i])))
-                    i += 1
-        out = []
-        for o in sorted(found):
-            n, total = self.size[o]
-            part = len({x for _, _, x in found[o]}) / total
-            if part < coverage:
-                continue
-            slots, agree = self._slots(o, n, words, found[o])
-            if slots and agree / slots < consistent:
-                continue
-            out.append({"item_id": self.items[o], "coverage": part, "n_slots": slots, "consistency": agree / slots if slots else 1.0})
-        return out
-
-    def _slots(self, o: int, n: int, words: list[str], pairs: list[tuple[int, int, int]]) -> tuple[int, int]:
-        """Slots in the matched windows along the item's best alignment, and those that agree on one substitution."""
-        by: dict[int, set[int]] = defaultdict(set)
-        for p, q, _ in pairs:
-            by[p - q].add(q)
-        shift = max(by, key=lambda d: (len(by[d]), -d))
-        kinds, own = self.templates[o], self.words[o]
-        at = sorted({q + k for q in by[shift] for k in range(n)})
-        values: dict[tuple[int, str], dict[str, int]] = defaultdict(lambda: defaultdict(int))
-        slots = 0
-        for q in at:
-            if int(kinds[q]) in SLOT_HASHES:
-                slots += 1
-                values[int(kinds[q]), own[q].strip(EDGES)][words[q + shift].strip(EDGES)] += 1
-        return slots, sum(max(v.values()) for v in values.values())
+def window_hashes(words: list[str], n: int) -> np.ndarray:
+    """Hash of each run of n template tokens; runs of different length have different hashes."""
+    with np.errstate(over="ignore"):
+        return mixed(rolling(template(words), n) + np.uint64(n))
 
 
 SLOT_HASHES = frozenset(SLOT.values())
-LEAKS = "array<struct<item_id long, coverage double, n_slots long, consistency double>>"
 
 
-def leak_columns(docs: DataFrame, benchmark: DataFrame, text: str = "text", block_windows: int = BLOCK_WINDOWS) -> list[Column]:
-    """Columns of leaks, one for each block of benchmark items; a text's leaks are their concatenation.
+def slots(item: list[str], words: list[str], n: int, shift: int, places: list[int]) -> tuple[int, int]:
+    """Slots of the item in its windows of n tokens at ``places``, found ``shift`` words later, and those that agree on one
+    substitution."""
+    kinds = template(item)
+    values: dict[tuple[int, str], dict[str, int]] = defaultdict(lambda: defaultdict(int))
+    found = 0
+    for q in sorted({q + k for q in places for k in range(n)}):
+        if int(kinds[q]) in SLOT_HASHES:
+            found += 1
+            values[int(kinds[q]), item[q].strip(EDGES)][words[q + shift].strip(EDGES)] += 1
+    return found, sum(max(v.values()) for v in values.values())
 
-    The benchmark is a stated set of queries: its items come to the driver block by block."""
-    spark = docs.sparkSession
-    tuned(spark)
-    blocks: list[list] = [[]]
-    n = 0
-    for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).orderBy("item_id", "text").toLocalIterator():
-        if n > block_windows:
-            blocks.append([])
-            n = 0
-        blocks[-1].append((r["item_id"], r["text"]))
-        n += len((r["text"] or "").split())
-    return [_leaks_udf(Held(spark, b))(F.col(text)) for b in blocks]
 
+def benchmark_windows(items: DataFrame, window: int = WINDOW, least: int = LEAST) -> DataFrame:
+    """item, n (tokens of a window), total (distinct windows of the item), q (place), h of all windows of items (item, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [(np.empty(0, np.int64),) * 5]
+            for item, text in zip(b.column("item").to_pylist(), b.column("text").to_pylist()):
+                words = (text or "").split()
+                if len(words) >= least:
+                    n = min(window, len(words))
+                    h = window_hashes(words, n)
+                    out.append((np.full(len(h), item), np.full(len(h), n), np.full(len(h), len(np.unique(h))), np.arange(len(h)), signed(h)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out)], ["item", "n", "total", "q", "h"])
+
+    return items.mapInArrow(run, "item long, n long, total long, q long, h long")
 
-_loaded: dict = {}
 
+def text_windows(texts: DataFrame, lengths: list[int]) -> DataFrame:
+    """_x, _y, p (place), h of all windows of texts (_x, _y, text), for each length."""
 
-def _leaks_udf(held):
-    @F.pandas_udf(LEAKS)
-    def leaks(texts: pd.Series) -> pd.Series:
-        if held.id not in _loaded:
-            _loaded.clear()
-            _loaded[held.id] = Templates(held.value)
-        t = _loaded[held.id]
-        return pd.Series([t.leaks(x) for x in texts])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = [t.split() for t in b.column("text").to_pylist()]
+            for n in lengths:
+                h = [window_hashes(w, n) if len(w) >= n else np.empty(0, np.uint64) for w in words]
+                at = np.concatenate(([0], np.cumsum([len(x) for x in h]))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([b.column("_x"), b.column("_y"), pa.ListArray.from_arrays(pa.array(at), pa.array(signed(np.concatenate(h))))], ["_x", "_y", "h"])
 
-    return leaks
+    return texts.mapInArrow(run, "_x long, _y long, h array<long>").select("_x", "_y", F.posexplode("h").alias("p", "h"))
 
 
-def with_leaks(docs: DataFrame, benchmark: DataFrame, name: str = "_leaks") -> DataFrame:
-    return docs.withColumn(name, F.concat(*leak_columns(docs, benchmark)))
+def row_key() -> tuple[Column, Column]:
+    """128 bits of a row's id and text; a row's leaks depend on no more."""
+    row = F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit(""))
+    return F.xxhash64(*row), F.xxhash64(F.lit(1), *row)
 
 
-def decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, consistent: float = CONSISTENT, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+    """_x, _y (a row's key), item_id, coverage, n_slots, consistency of each item that leaks into a row; a table."""
+    spark = docs.sparkSession
+    tuned(spark)
+    x, y = row_key()
+    texts = docs.select(x.alias("_x"), y.alias("_y"), F.coalesce("text", F.lit("")).alias("text"))
+    items = stored(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).withColumn("item", F.monotonically_increasing_id()), "items")
+    windows = stored(benchmark_windows(items.select("item", "text")), "item-windows")
+    lengths = sorted(r["n"] for r in windows.select("n").distinct().collect())  # at most WINDOW - LEAST + 1
+    known = stored(windows.select("h").distinct(), "window-hashes")
+    found = stored(text_windows(texts, lengths).join(small(known, broadcast_windows), "h"), "window-hits")
+    pairs = stored(found.join(windows, "h").select("_x", "_y", "item", "n", "total", "q", (F.col("p") - F.col("q")).alias("shift"), "h"), "window-pairs")
+    enough = pairs.groupBy("_x", "_y", "item", "n", "total").agg(F.size(F.collect_set("h")).alias("k")).where(F.col("k") / F.col("total") >= coverage)
+    lines = pairs.groupBy("_x", "_y", "item", "shift").agg(F.collect_set("q").alias("qs"))
+    best = F.max(F.struct(F.size("qs").alias("size"), (-F.col("shift")).alias("back"), "qs")).alias("best")
+    best = lines.groupBy("_x", "_y", "item").agg(best)
+    chosen = enough.join(best, ["_x", "_y", "item"]).select("_x", "_y", "item", "n", (F.col("k") / F.col("total")).alias("coverage"), (-F.col("best.back")).alias("shift"), F.col("best.qs").alias("qs"))
+    chosen = stored(chosen.join(items.select("item", "item_id", F.col("text").alias("item_text")), "item"), "candidates")
+    dropped(found, pairs, known, windows, items)
+
+    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = zip(*(b.column(c).to_pylist() for c in ("item_text", "text", "n", "shift", "qs")))
+            got = [slots(i.split(), t.split(), n, shift, qs) for i, t, n, shift, qs in rows]
+            n, ok = (pa.array([g[j] for g in got], pa.int64()) for j in (0, 1))
+            share = pa.array([a / k if k else 1.0 for k, a in got], pa.float64())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("_x", "_y", "item_id", "coverage")), n, share], ["_x", "_y", "item_id", "coverage", "n_slots", "consistency"])
+
+    texts = texts.join(small(chosen), ["_x", "_y"]).dropDuplicates(["_x", "_y", "item"])
+    out = texts.mapInArrow(checked, "_x long, _y long, item_id long, coverage double, n_slots long, consistency double")
+    out = stored(out.where(F.col("consistency") >= consistent), "leaks")
+    dropped(chosen)
+    return out
+
+
+def decontamination(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, consistent: float = CONSISTENT, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """The leaks: doc_id, item_id, coverage, n_slots, consistency for each text and each item that leaks into it."""
-    found = with_leaks(docs.select(F.col("doc_id"), F.col("text")), benchmark).select("doc_id", F.explode("_leaks").alias("x"))
-    return found.select("doc_id", "x.item_id", "x.coverage", "x.n_slots", "x.consistency")
+    x, y = row_key()
+    found = small(leaks(docs, benchmark, coverage, consistent, broadcast_windows))
+    return docs.select(F.col("doc_id"), x.alias("_x"), y.alias("_y")).join(found, ["_x", "_y"]).drop("_x", "_y")
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``docs``, all columns, without the rows into which an item leaks."""
+    x, y = row_key()
+    a, b = unused(docs, "x"), unused(docs, "y")
+    found = leaks(docs, benchmark).select(F.col("_x").alias(a), F.col("_y").alias(b)).distinct()
+    return docs.withColumn(a, x).withColumn(b, y).join(small(stored(found, "leaking")), [a, b], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -26,15 +26,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, Held, dropped, fresh, stored, texts_of, tuned
+from .common import BLANK, BROADCAST_ROWS, Held, dropped, fresh, small, stored, texts_of, tuned
 
 MIN_CHARS, MIN_DOCS = 40, 5
 #: Keys of one shard's filter, about.
 SHARD_KEYS = 50_000
 #: Filters of up to so many bytes travel with the tasks (some 27 million keys); beyond, every line is looked up.
 SIEVE_BYTES = 64 << 20
-#: So many rows of keys or of documents with lines to drop may be sent to all tasks; beyond, they are joined by key.
-BROADCAST_ROWS = 200_000
 
 
 def line_keys(text: bytes) -> list[bytes]:
@@ -259,11 +257,6 @@ class LineIndex:
 OUT = "doc_id long, n_lines long, n_dropped long, kept_sha256 string, kept_text string"
 
 
-def _small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """A stored table, to be broadcast if it has at most so many rows."""
-    return F.broadcast(df) if df.count() <= most else df
-
-
 def line_dedup(docs: DataFrame, index: LineIndex | None = None, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, with_text: bool = True, also: tuple[str, ...] = (), sieve_bytes: int = SIEVE_BYTES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_lines, n_dropped, kept_sha256, kept_text (null without ``with_text``), and the
     columns in ``also`` as in_<name>. ``index`` is one that holds the documents; without, one is built over ``docs``."""
@@ -294,7 +287,7 @@ def line_dedup(docs: DataFrame, index: LineIndex | None = None, min_docs: int =
             yield pa.RecordBatch.from_arrays([*(b.column(n).take(at) for n in ("_x", "_y", "doc_id")), pa.array(np.array(line, np.int32)[keep]), pa.array(a[keep]), pa.array(c[keep])], ["_x", "_y", "doc_id", "line", "h1", "h2"])
 
     lines = src.select("_x", "_y", "doc_id", "text").mapInArrow(passing, "_x long, _y long, doc_id long, line int, h1 long, h2 long")
-    hits = lines.join(_small(own.frequent(), broadcast_rows), ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    hits = lines.join(small(own.frequent(), broadcast_rows), ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     hits = stored(hits.groupBy("_x", "_y").agg(F.collect_set("line").alias("_drop")), "line-hits")
     if index is None:
         own.dropped()
@@ -311,5 +304,5 @@ def line_dedup(docs: DataFrame, index: LineIndex | None = None, min_docs: int =
             yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], k) for j, k in enumerate(kinds)] + [b.column(f"_also_{c}") for c in also], names + [f"_also_{c}" for c in also])
 
     schema = OUT + "".join(f", `_also_{f.name}` {f.dataType.simpleString()}" for c in also for f in [docs.schema[c]])
-    out = src.join(_small(hits, broadcast_rows), ["_x", "_y"], "left").drop("_x", "_y").mapInArrow(apply, schema)
+    out = src.join(small(hits, broadcast_rows), ["_x", "_y"], "left").drop("_x", "_y").mapInArrow(apply, schema)
     return out.select("doc_id", "n_lines", "n_dropped", "kept_sha256", "kept_text", *[F.col(f"`_also_{c}`").alias(f"in_{c}") for c in also])

@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from doclathe.llm.bpe import ByteBpe, bpe_encode, chunks, pieces, scan, stitch
+from doclathe.llm.bpe import ByteBpe, bpe_encode, chunks, piece_starts, pieces, scan, stitch
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 with open(PATH, "rb") as f:
@@ -22,14 +22,36 @@ SF = "/root/testdata/sf0.001"
 @given(st.text(alphabet="ab  \n\té1!'s漢😀’", max_size=300), st.sampled_from([(4, 2), (8, 4), (20, 30)]))
 def test_stitched_chunks_encode_like_the_whole_text(text, sizes):
     scans = [(at, *scan(BPE, at, p, len(text), *sizes)) for at, p in chunks(text, *sizes)]
-    ids = [i for p in pieces(text, stitch(BPE, text, scans)) for i in BPE.encode(p)]
+    ids = [i for p in pieces(text, stitch(scans)) for i in BPE.encode(p)]
     assert ids == BPE.encode(text)
     assert BPE.decode(ids) == text.encode()
 
 
+def test_piece_starts_equal_stitch(spark):
+    rng = random.Random(1)
+    rows, want = [], {}
+    for i in range(40):
+        text = "".join(rng.choices(["ab", " ", "\n", "1", "x" * 30], [9, 9, 2, 3, i % 3], k=rng.randint(1, 150)))
+        scans = [(at, *scan(BPE, at, p, len(text), 20, 8)) for at, p in chunks(text, 20, 8)]
+        rows += [(i, at, h, t) for at, h, t in scans]
+        want[i] = stitch(scans)
+    got = piece_starts(spark.createDataFrame(rows, "_row long, at long, head array<long>, tail array<long>")).collect()
+    assert {i: sorted({r["begin"] for r in got if r["_row"] == i and (r["no"] == 0 or r["begin"])}) for i in want} == want
+    assert min(map(len, want.values())) == 1 and max(map(len, want.values())) > 5
+
+
+def test_long_pre_tokens_at_production_sizes(docs_of):
+    rows = [(1, "word " * 9000 + "y" * 70_000 + " word" * 9000), (2, "z" * 100_000), (3, "ab cd\n" * 15_000)]
+    out = bpe_encode(docs_of(rows), PATH, public_tokenizers.PATTERN, with_ids=False).collect()
+    want = {i: hashlib.sha256(",".join(map(str, BPE.own.encode_ordinary(t))).encode()).hexdigest() for i, t in rows}
+    assert {r["doc_id"]: r["ids_sha256"] for r in out} == want
+
+
 def test_rows(docs_of, odd_texts):
     rng = random.Random(0)
-    rows = [*odd_texts, (30, "<|endoftext|> is text"), (31, "".join(rng.choices("ab  \né1!", k=3000)))]
+    # Pre-tokens of more than an overlap, of several chunks, and between texts that are in step.
+    runs = ["x" * 1700 + " and then some words " * 60, "some words " * 90 + "é" * 130 + " more of them" * 90 + " " * 700 + "end", "1" * 2500]
+    rows = [*odd_texts, (30, "<|endoftext|> is text"), (31, "".join(rng.choices("ab  \né1!", k=3000))), *((40 + i, t) for i, t in enumerate(runs))]
     out = bpe_encode(docs_of(rows), PATH, public_tokenizers.PATTERN, chunk=500, overlap=50).collect()
     key = lambda r: tuple((x is None, x or 0) for x in r)
     got = [(r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in out]
