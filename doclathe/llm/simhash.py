@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, per_batch, stored, texts_of, tuned
+from .common import dropped, per_batch, stored, texts_of, tuned, unused
 from .links import block_pairs, components, grouped_runs, local_roots
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
@@ -124,8 +124,9 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -
     classes = stored(fps.groupBy("fp").agg(F.min(row).alias("first")), "classes")
     found = components(fingerprint_links(classes.select("fp"), radius))
     member = classes.join(found.withColumnRenamed("id", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    pick = stored(member.groupBy("component").agg(F.min("first").alias("x")).select(F.col("x.doc_id").alias("_kept_id"), F.col("x.text_hash").alias("_kept_text")), "picked")
+    own, kept_id, kept_text = (unused(docs, n) for n in ("own_text", "kept_id", "kept_text"))
+    pick = stored(member.groupBy("component").agg(F.min("first").alias("x")).select(F.col("x.doc_id").alias(kept_id), F.col("x.text_hash").alias(kept_text)), "picked")
     dropped(fps, classes)
-    rows = docs.withColumn("_own_text", text_hash())
-    same = (F.col("_own_text") == F.col("_kept_text")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id"))
-    return rows.join(pick, same).dropDuplicates(["_kept_text", "_kept_id"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.withColumn(own, text_hash())
+    same = (F.col(own) == F.col(kept_text)) & F.col("doc_id").cast("long").eqNullSafe(F.col(kept_id))
+    return rows.join(pick, same).dropDuplicates([kept_text, kept_id]).select(*[F.col(f"`{c}`") for c in docs.columns])

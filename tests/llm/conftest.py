@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import pytest
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp long, k1 long, k2 long, _row long, copies long, keeper string, label string"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp long, k1 long, k2 long, _row long, copies long, keeper string, label string, _own_text double, _kept_id long, _score double, _x long, item_id string"
 
 
 @pytest.fixture(scope="session")
@@ -10,7 +10,7 @@ def docs_of(spark):
     """Documents with columns whose names clash with those that operators use inside."""
 
     def make(pairs):
-        return spark.createDataFrame([(i, t, None, None, None, 1, 2, 3, 4, 5, "k", None) for i, t in pairs], DOCS)
+        return spark.createDataFrame([(i, t, None, None, None, 1, 2, 3, 4, 5, "k", None, 42.0, 7, 42.0, 8, "i") for i, t in pairs], DOCS)
 
     return make
 

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from doclathe.llm.decontaminate import Templates, decontamination
+from doclathe.llm.decontaminate import EDGES, SLOT_HASHES, decontamination, template
 from doclathe.llm.language_model import CLASSES, LogBilinear, class_pairs, lm_scores
 from doclathe.llm.quality import resample, top_k
 from doclathe.llm.toxicity import FactorizationMachine, toxicity
@@ -95,25 +95,68 @@ def test_top_k(spark, k):
 ITEM = "A train leaves Rome at 9 and covers 120 km before noon while Maria rides 120 km on her bike and rests for 3 hours near the river"
 
 
-def test_templates():
-    t = Templates([(1, ITEM), (2, "too short"), (3, None), (4, "one two three four five six")])
-    leak = lambda text: [x["item_id"] for x in t.leaks(text)]
-    assert leak(ITEM) == leak("Before it. " + ITEM + " and more text follows") == [1]
-    assert leak(ITEM.replace("120", "250").replace("Maria", "Anna").replace(" 9 ", " 7 ").replace("km", "miles")) == [1]
-    broken = ITEM.replace("120", "250", 1).replace(" 9 ", " 120 ").replace("3", "250")
-    assert t.leaks(broken, consistent=0.95) == []
-    assert leak("words that have nothing to do with it " * 5) == leak("") == leak(None) == []
-    assert leak("And then. One two three four five six.") == [4]
-    half = ITEM.split()
-    assert leak(" ".join(half[: len(half) // 3])) == []
+def brute_leaks(docs, items, coverage=0.5, consistent=0.8):
+    """Windows as lists of tokens, every item against every text."""
+    h = lambda words: template(words).tolist()
+    out = []
+    for i, text in docs:
+        words = (text or "").split()
+        for item_id, item in items:
+            own = (item or "").split()
+            if len(own) < 5 or len(words) < min(8, len(own)):
+                continue
+            n, a, b = min(8, len(own)), h(own), h(words)
+            wins = [tuple(a[q : q + n]) for q in range(len(a) - n + 1)]
+            hits = [(p, q) for p in range(len(b) - n + 1) for q, w in enumerate(wins) if tuple(b[p : p + n]) == w]
+            share = len({wins[q] for _, q in hits}) / len(set(wins))
+            if share < coverage:
+                continue
+            lines = Counter(s for s, _ in {(p - q, q) for p, q in hits})
+            shift = min(lines, key=lambda s: (-lines[s], s))
+            at = {q + k for p, q in hits if p - q == shift for k in range(n)}
+            slot = [q for q in at if a[q] in SLOT_HASHES]
+            pairs = Counter((a[q], own[q].strip(EDGES), words[q + shift].strip(EDGES)) for q in slot)
+            agree = sum(max(v for (k, o, _), v in pairs.items() if (k, o) == g) for g in {(k, o) for k, o, _ in pairs})
+            if not slot or agree / len(slot) >= consistent:
+                out.append((i, item_id, share, len(slot), agree / len(slot) if slot else 1.0))
+    return out
 
 
-def test_decontamination_equals_brute_force(docs_of, spark, odd_texts):
-    bench = spark.createDataFrame([(1, ITEM), (1, ITEM), (2, "short"), (None, None)], "item_id long, text string")
-    docs = docs_of([*odd_texts, (20, "Intro. " + ITEM), (21, ITEM.replace("120", "77"))])
-    got = decontamination(docs, bench).collect()
-    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(20, 1), (20, 1), (21, 1), (21, 1)]
-    assert decontamination(docs, bench.limit(0)).count() == decontamination(docs_of([]), bench).count() == 0
+def leaks_of(spark, docs_of, texts, items, **options):
+    bench = spark.createDataFrame([(i, t, "doc", 1, 2.0) for i, t in items], "item_id long, text string, doc_id string, h long, q double")
+    got = decontamination(docs_of(texts), bench, **options).collect()
+    return [(r["doc_id"], r["item_id"], r["coverage"], r["n_slots"], r["consistency"]) for r in got]
+
+
+def test_templates(spark, docs_of):
+    broken = ITEM.replace("120", "250", 1).replace(" 9 ", " 120 ").replace("3", "250")
+    half = ITEM.split()
+    texts = [
+        (1, ITEM),
+        (2, "Before it. " + ITEM + " and more text follows"),
+        (3, ITEM.replace("120", "250").replace("Maria", "Anna").replace(" 9 ", " 7 ").replace("km", "miles")),
+        (4, broken),
+        (5, "words that have nothing to do with it " * 5),
+        (6, "And then. One two three four five six."),
+        (7, " ".join(half[: len(half) // 3])),
+    ]
+    items = [(1, ITEM), (2, "too short"), (3, None), (4, "one two three four five six")]
+    got = leaks_of(spark, docs_of, texts, items, consistent=0.95)
+    assert sorted((d, i) for d, i, *_ in got) == [(1, 1), (2, 1), (3, 1), (6, 4)]
+
+
+@pytest.mark.parametrize("carried", [1_000_000, 0])
+def test_decontamination_equals_brute_force(docs_of, spark, odd_texts, carried):
+    rng = random.Random(3)
+    words = ["red", "Anna", "7", "km", "sees", "Rome", "12", "and", "the", "blue."]
+    items = [(1, ITEM), (1, ITEM), (2, "short"), (None, None), (3, "1 2 3 4 5 6 7 8 9 10 11 12"), (None, "the red and the blue")]
+    items += [(10 + i, " ".join(rng.choices(words, k=rng.randint(5, 14)))) for i in range(6)]
+    texts = [t for t in odd_texts if t[0] not in (5, 6)] + [(20, "Intro. " + ITEM), (20, "Intro. " + ITEM), (21, ITEM.replace("120", "77")), (22, "9 8 7 6 5 4 3 2 1 0 1 2 3 4 5")]
+    texts += [(30 + i, " ".join(rng.choices(words, k=30)) + " " + (rng.choice(items)[1] or "")) for i in range(20)]
+    key = lambda t: tuple((x is None, x or 0) for x in t)
+    got = sorted(leaks_of(spark, docs_of, texts, items, broadcast_windows=carried), key=key)
+    assert got == sorted(brute_leaks(texts, items), key=key) and len(got) > 15
+    assert leaks_of(spark, docs_of, texts, []) == leaks_of(spark, docs_of, [], items) == []
 
 
 def lm_docs(n=300):
