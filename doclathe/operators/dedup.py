@@ -29,11 +29,17 @@ def firsts(df: DataFrame, order: str = "doc_id") -> DataFrame:
 def mark_duplicates(df: DataFrame, column: str | None = "text", order: str = "doc_id", missing_unique: bool = False) -> DataFrame:
     """Adds fingerprint, is_duplicate, existing_id (of the original, for duplicates). ``order`` must be unique.
 
-    Only fingerprints and order keys are shuffled to find the originals; AQE splits the join at frequent fingerprints."""
-    keyed = df.withColumn("fingerprint", content_key(df, column, order, missing_unique))
-    first = firsts(keyed.select("fingerprint", order), order).select("fingerprint", F.col("first").alias("_first"))
-    dup = F.col(order) != F.col("_first")
-    return keyed.join(first, "fingerprint").select(*[F.col(f"`{c}`") for c in df.columns], "fingerprint", dup.alias("is_duplicate"), F.when(dup, F.col("_first")).alias("existing_id"))
+    Fingerprints and order keys alone are aggregated to find those that occur again. Up to BROADCAST_FINGERPRINTS of them
+    are sent to all tasks, and no row is shuffled; beyond, AQE splits the join at frequent fingerprints. Columns of the
+    names that are added are replaced."""
+    key = content_key(df, column, order, missing_unique)
+    kept = [c for c in df.columns if c.lower() not in ("fingerprint", "is_duplicate", "existing_id")]
+    first = firsts(df.select(key.alias("fingerprint"), F.col(order)), order).where("copies > 1").select("fingerprint", F.col("first").alias("_first")).persist()
+    if first.count() <= BROADCAST_FINGERPRINTS:
+        first = F.broadcast(first)
+    keyed = df.select(*[F.col(f"`{c}`") for c in kept], key.alias("fingerprint"))
+    dup = F.coalesce(F.col(order) != F.col("_first"), F.lit(False))
+    return keyed.join(first, "fingerprint", "left").select(*[F.col(f"`{c}`") for c in kept], "fingerprint", dup.alias("is_duplicate"), F.when(dup, F.col("_first")).alias("existing_id"))
 
 
 def unique_rows(df: DataFrame, column: str | None = "text", order: str = "doc_id", missing_unique: bool = True) -> DataFrame:
@@ -67,9 +73,9 @@ class FingerprintStore:
         pairs = {(x if isinstance(x, str) else x[0]): (None if isinstance(x, str) else x[1]) for x in items}
         return cls(spark.createDataFrame(list(pairs.items()), cls.SCHEMA))
 
-    def register(self, rows: DataFrame) -> FingerprintStore:
-        """Later rows overwrite the doc_id."""
-        new = rows.groupBy("fingerprint").agg(F.max(F.col("doc_id").cast("string")).alias("doc_id"))
+    def register(self, rows: DataFrame, order: str = "doc_id") -> FingerprintStore:
+        """Rows overwrite the store's doc_id; of several rows the last by ``order`` does, compared in its own type."""
+        new = rows.groupBy("fingerprint").agg(F.max_by(F.col("doc_id").cast("string"), order).alias("doc_id"))
         return FingerprintStore(self.rows.join(new.select("fingerprint"), "fingerprint", "left_anti").unionByName(new))
 
     def remove(self, fingerprints: DataFrame) -> FingerprintStore:

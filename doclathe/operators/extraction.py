@@ -11,9 +11,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..config import Config
 from ..functions import collections as A
 from ..functions import json as J
 from ..functions import text as S
+from ..resilience import HttpClient, RetriesExhausted, StatusError
 from ..shipping import ship
 from .dedup import mark_duplicates
 
@@ -105,14 +107,45 @@ class EchoClient:
         return "```json\n" + json.dumps({"summary": text[:40], "length": len(text), "md5": hashlib.md5(text.encode()).hexdigest()}, ensure_ascii=False) + "\n```"
 
 
-#: Providers with their default models, and sampling parameters.
+#: Providers with their default models, the roots of their addresses, and sampling parameters.
 PROVIDERS: dict[str, dict] = {
-    "openai": {"model": "gpt-4o"},
-    "qwen": {"model": "qwen-plus"},
-    "zhipu": {"model": "glm-4-flash"},
+    "openai": {"model": "gpt-4o", "base": "https://api.openai.com/v1"},
+    "qwen": {"model": "qwen-plus", "base": "https://dashscope.aliyuncs.com/compatible-mode/v1"},
+    "zhipu": {"model": "glm-4-flash", "base": "https://open.bigmodel.cn/api/paas/v4"},
 }
 SAMPLING = {"temperature": 0.1, "top_p": 0.9, "max_tokens": 4096}
-_factories: dict[str, Callable[[], ChatClient]] = {"echo": EchoClient}
+
+
+class HttpChatClient:
+    """A provider's chat completions over HTTP. ``chat_with_retry`` does the retries, so ``http`` makes one attempt only."""
+
+    def __init__(self, provider: str, key: str, base: str = "", model: str = "", http: HttpClient | None = None, **sampling):
+        if not key:
+            raise AuthError(f"{provider}: no key")
+        known = PROVIDERS[provider]
+        self.key, self.base, self.model = key, (base or known["base"]).rstrip("/"), model or known["model"]
+        self.http, self.sampling = http or HttpClient(retries=0), SAMPLING | sampling
+
+    def chat(self, messages: list[dict[str, str]]) -> str:
+        try:
+            got = self.http.post_json(f"{self.base}/chat/completions", {"model": self.model, "messages": messages, **self.sampling}, {"Authorization": f"Bearer {self.key}"})
+        except (StatusError, RetriesExhausted) as e:
+            status = getattr(e if isinstance(e, StatusError) else e.__cause__, "status", None)
+            raise {"auth": AuthError, "rate_limit": RateLimitError}.get(classify(status), RuntimeError)(str(e)) from e
+        return got["choices"][0]["message"]["content"] or ""
+
+
+def _configured(provider: str) -> Callable[[], ChatClient]:
+    """Makes a client from the settings of the environment it is made in."""
+
+    def make() -> ChatClient:
+        c = Config.load()
+        return HttpChatClient(provider, c.llm_api_key, c.llm_api_base, c.llm_model)
+
+    return make
+
+
+_factories: dict[str, Callable[[], ChatClient]] = {"echo": EchoClient} | {p: _configured(p) for p in PROVIDERS}
 
 
 def register_client(name: str, make: Callable[[], ChatClient]) -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 import time
 import urllib.error
@@ -9,8 +10,14 @@ import urllib.request
 from collections.abc import Callable
 
 WAITS = (1, 3, 5, 10, 30)
-#: Agents that clients may name.
-AGENTS = tuple(f"Mozilla/5.0 ({system}) {engine}" for system in ("Windows NT 10.0; Win64; x64", "Macintosh; Intel Mac OS X 10_15_7", "X11; Linux x86_64") for engine in ("AppleWebKit/537.36 (KHTML, like Gecko) Chrome/124.0 Safari/537.36", "Gecko/20100101 Firefox/125.0", "AppleWebKit/605.1.15 (KHTML, like Gecko) Version/17.4 Safari/605.1.15"))
+#: Agents that a client names, one at random for each request.
+AGENTS = (
+    "Mozilla/5.0 (Windows NT 10.0; Win64; x64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/124.0.0.0 Safari/537.36",
+    "Mozilla/5.0 (X11; Linux x86_64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/124.0.0.0 Safari/537.36",
+    "Mozilla/5.0 (Windows NT 10.0; Win64; x64; rv:125.0) Gecko/20100101 Firefox/125.0",
+    "Mozilla/5.0 (X11; Linux x86_64; rv:125.0) Gecko/20100101 Firefox/125.0",
+    "Mozilla/5.0 (Macintosh; Intel Mac OS X 14_4) AppleWebKit/605.1.15 (KHTML, like Gecko) Version/17.4 Safari/605.1.15",
+)
 
 
 class CircuitOpen(Exception):
@@ -65,28 +72,29 @@ def waits(n: int) -> list[float]:
 
 
 class HttpClient:
-    """GET with retries on transport errors and on 429 and 5xx."""
+    """Requests with retries on transport errors and on 429 and 5xx. ``opener`` maps (method, url, headers, body) to
+    (status, body)."""
 
     def __init__(self, retries: int = 3, timeout: float = 30, breaker: CircuitBreaker | None = None, opener: Callable | None = None, sleep: Callable[[float], None] = time.sleep):
         self.retries, self.timeout, self.sleep = retries, timeout, sleep
         self.breaker = breaker or CircuitBreaker(max(3, retries))
         self.opener = opener or self._open
 
-    def _open(self, url: str, headers: dict[str, str]) -> tuple[int, bytes]:
+    def _open(self, method: str, url: str, headers: dict[str, str], body: bytes | None) -> tuple[int, bytes]:
         try:
-            with urllib.request.urlopen(urllib.request.Request(url, headers=headers), timeout=self.timeout) as r:
+            with urllib.request.urlopen(urllib.request.Request(url, body, headers, method=method), timeout=self.timeout) as r:
                 return r.status, r.read()
         except urllib.error.HTTPError as e:
             return e.code, e.read()
 
-    def get(self, url: str, headers: dict[str, str] | None = None) -> bytes:
+    def request(self, method: str, url: str, headers: dict[str, str] | None = None, body: bytes | None = None) -> bytes:
         own = {"User-Agent": random.choice(AGENTS), "Accept-Language": "en"} | (headers or {})
         last: Exception | None = None
         for wait in [*waits(self.retries), None]:
             try:
-                status, body = self.breaker.call(self.opener, url, own)
+                status, got = self.breaker.call(self.opener, method.upper(), url, own, body)
                 if status < 400:
-                    return body
+                    return got
                 if status != 429 and status < 500:
                     raise StatusError(status)
                 last = StatusError(status)
@@ -97,3 +105,10 @@ class HttpClient:
             if wait is not None:
                 self.sleep(wait)
         raise RetriesExhausted(f"{self.retries + 1} attempts failed: {last}") from last
+
+    def get(self, url: str, headers: dict[str, str] | None = None) -> bytes:
+        return self.request("GET", url, headers)
+
+    def post_json(self, url: str, value: object, headers: dict[str, str] | None = None) -> object:
+        """Sends and receives JSON."""
+        return json.loads(self.request("POST", url, {"Content-Type": "application/json"} | (headers or {}), json.dumps(value).encode()))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as S
+from ..resilience import HttpClient
 from ..shipping import ship
 from . import html, office
 
@@ -96,19 +97,23 @@ class ParserRegistry:
 CSV_PLUGIN = Parser("csv_table", ("csv", "tsv"), parse_csv)
 
 
-def row(parser: Parser, path: str, data: bytes | None, size: int | None, options: dict) -> dict:
-    """One result; whatever goes wrong becomes its error."""
+def row(parser: Parser, path: str, data: bytes | None, size: int | None, options: dict, http: HttpClient | None = None) -> dict:
+    """One result; whatever goes wrong becomes its error. An address without bytes is fetched."""
     base = {"success": False, "file_path": path, "file_type": parser.name, "file_size": size or 0, "text": "", "paragraphs": [], "tables": [], "images": [], "metadata": {}, "error": None}
-    if data is None:
-        return base | {"error": "FileNotFoundError: no such file"}
     try:
+        if data is None and http and path.startswith(("http://", "https://")):
+            data = http.get(path)
+            base["file_size"] = len(data)
+        if data is None:
+            raise FileNotFoundError("no such file")
         return base | parser.parse(data, path, **options) | {"success": True}
     except Exception as e:
         return base | {"error": f"{type(e).__name__}: {e}"}
 
 
-def parse_files(files: DataFrame, registry: ParserRegistry | None = None, options: dict[str, dict] | None = None, path: str = "path", content: str = "content", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Results for rows with a path and bytes, such as those of ``read_files``. ``options`` are by parser name."""
+def parse_files(files: DataFrame, registry: ParserRegistry | None = None, options: dict[str, dict] | None = None, path: str = "path", content: str = "content", keep: tuple[str, ...] = (), http: Callable[[], HttpClient] | None = HttpClient) -> DataFrame:
+    """Results for rows with a path and bytes, such as those of ``read_files``. ``options`` are by parser name. Addresses
+    without bytes are fetched by a client that ``http`` makes once for each task (None: they are failures)."""
     ship(files.sparkSession)
     registry, options = registry or ParserRegistry(), options or {}
     src = files.select(*keep, F.col(path).alias("_path"), F.col(content).cast("binary").alias("_content"))
@@ -117,11 +122,12 @@ def parse_files(files: DataFrame, registry: ParserRegistry | None = None, option
     kinds = {"success": pa.bool_(), "file_size": pa.int64(), "paragraphs": texts, "tables": pa.list_(pa.list_(texts)), "images": pa.list_(pa.struct([("src", pa.string()), ("alt", pa.string())])), "metadata": pa.map_(pa.string(), pa.string())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        client = http() if http else None
         for b in batches:
             out = []
             for p, data in zip(b.column("_path").to_pylist(), b.column("_content").to_pylist()):
                 parser = registry.parser_for(p or "")
-                out.append(row(parser, p, data, None if data is None else len(data), options.get(parser.name, {})))
+                out.append(row(parser, p, data, None if data is None else len(data), options.get(parser.name, {}), client))
             names = [x.split()[0] for x in ("success file_path file_type file_size text paragraphs tables images metadata error").split()]
             cols = [pa.array([list(r[n].items()) if n == "metadata" else r[n] for r in out], kinds.get(n, pa.string())) for n in names]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), *cols], [*keep, *names])

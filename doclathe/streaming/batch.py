@@ -1,12 +1,13 @@
 """Resumable batches: items in shards, a ledger of what is done, retries for what failed.
 
-The ledger is three kinds of JSON lines in one folder (batch, shard and item events). State is the latest event of each
-shard or item, found by aggregation; a finished shard is never run again, so a batch can be killed at any time."""
+The ledger is four kinds of JSON lines in one folder (batch, shard, item and attempt events). State is the latest event of
+each shard or item, found by aggregation. An attempt writes its rows to a folder of its own and is named in the ledger
+together with what became of its shards and items, in one write; only named attempts have results. So a batch can be
+killed at any time: what an unnamed attempt has written doesn't count, and an item that went well is never run again."""
 
 from __future__ import annotations
 
 import secrets
-import time
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
@@ -18,6 +19,10 @@ STATUSES = ("pending", "running", "completed", "failed", "paused", "cancelled")
 EVENT = "batch_id string, kind string, shard_id string, idx long, status string, n_ok long, n_failed long, error string, retry int, at string"
 
 
+#: So many shards may be sent to all tasks to pick their items; beyond, items are joined by shard.
+BROADCAST_SHARDS = 200_000
+
+
 def new_batch_id(now: datetime | None = None) -> str:
     return f"batch_{(now or datetime.now()):%Y%m%d_%H%M%S}_{secrets.token_hex(3)}"
 
@@ -67,6 +72,9 @@ class Batch:
     #: Called after each run: with the progress, and with the rows (idx, error) that failed.
     on_progress: Callable[[dict], None] | None = None
     on_failed: Callable[[DataFrame], None] | None = None
+    #: Called after each run for each shard that was run, and for each item that failed, one after the other.
+    on_shard: Callable[[dict], None] | None = None
+    on_item_failed: Callable[[dict], None] | None = None
 
     @property
     def path(self) -> str:
@@ -119,39 +127,65 @@ class Batch:
     def cancel(self) -> None:
         self._write([(self.batch_id, "batch", None, None, "cancelled", None, None, None, 0, self._now())])
 
+    def results(self) -> DataFrame | None:
+        """Rows of the items that went well, one for each; None before the first attempt has ended."""
+        named = [r["error"] for r in self.events().where("kind = 'attempt'").select("error").collect()]
+        return self.spark.read.parquet(*[f"{self.path}/attempts/{n}" for n in named]).where("ok").drop("ok", "error") if named else None
+
     def run(self, items: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
-        """Runs all pending shards at once: Spark deals their rows out, the ledger keeps the bounds. Results of items
-        that went well are appended to path/results; errors become item events. Returns the progress."""
+        """Runs all pending shards at once: Spark deals their rows out, the ledger keeps the bounds. Of a shard that has
+        failed before, items that went well aren't run again. Returns the progress."""
         if self.status() == "cancelled":
             return progress(self.shards())
         todo = self.pending().select("shard_id")
-        own = items.withColumn("shard_id", shard_of(F.col("idx"), self.shard_size)).join(F.broadcast(todo), "shard_id")
-        return self._finish(own, work, 0)
+        if todo.count() <= BROADCAST_SHARDS:
+            todo = F.broadcast(todo)
+        own = items.withColumn("shard_id", shard_of(F.col("idx"), self.shard_size)).join(todo, "shard_id")
+        if (done := self.results()) is not None:
+            own = own.join(done.select("idx"), "idx", "left_anti")
+        none = F.lit(None)
+        self._write(self.shards().join(todo, "shard_id").select(*self._event("shard"), "shard_id", none.cast("long").alias("idx"), F.lit("running").alias("status"), "n_ok", "n_failed", none.cast("string").alias("error"), "retry"))
+        return self._finish(own, work, False)
 
     def retry(self, items: DataFrame, work: Callable[[DataFrame], DataFrame], max_retry: int = 3) -> DataFrame:
         """Runs failed items again, each up to ``max_retry`` times."""
-        todo = retriable(self.items(), max_retry).select("idx", F.col("retry").alias("_retry"))
-        own = items.join(todo, "idx").withColumn("shard_id", shard_of(F.col("idx"), self.shard_size))
-        return self._finish(own, work, 1)
-
-    def _finish(self, own: DataFrame, work: Callable[[DataFrame], DataFrame], again: int) -> DataFrame:
-        attempt = f"{self.path}/attempts/{time.time_ns()}"
-        work(own.drop("shard_id", "_retry")).write.parquet(attempt)
-        done = self.spark.read.parquet(attempt)
-        done.where("ok").drop("ok", "error").write.mode("append").parquet(f"{self.path}/results")
-        at, none = self._now(), F.lit(None)
-        before = own.select("idx", F.col("_retry") + 1 if again else F.lit(0).alias("x")).toDF("idx", "retry")
-        tried = done.select("idx", "ok", "error").join(before, "idx")
-        failed = tried.where(~F.col("ok")) if not again else tried
-        self._write(failed.select(F.lit(self.batch_id).alias("batch_id"), F.lit("item").alias("kind"), none.cast("string").alias("shard_id"), "idx", F.when(F.col("ok"), "completed").otherwise("failed").alias("status"), F.col("ok").cast("long").alias("n_ok"), (~F.col("ok")).cast("long").alias("n_failed"), "error", "retry", F.lit(at).alias("at")))
+        todo = retriable(self.items(), max_retry).select("idx")
+        return self._finish(items.join(todo, "idx").withColumn("shard_id", shard_of(F.col("idx"), self.shard_size)), work, True)
+
+    def _event(self, kind: str) -> list[Column]:
+        return [F.lit(self.batch_id).alias("batch_id"), F.lit(kind).alias("kind"), F.lit(self._now()).alias("at")]
+
+    def _finish(self, own: DataFrame, work: Callable[[DataFrame], DataFrame], again: bool) -> DataFrame:
+        attempt = secrets.token_hex(8)
+        where = f"{self.path}/attempts/{attempt}"
+        work(own.drop("shard_id")).write.parquet(where)
+        done, none = self.spark.read.parquet(where), F.lit(None)
+        at = self._event("shard")[2]  # one time for all events of an attempt
+        about = lambda kind: [*self._event(kind)[:2], at]
+        before = self.items().select("idx", F.col("retry").alias("_retry"))
+        tried = done.select("idx", "ok", "error").join(before, "idx", "left")
+        tried = tried.where(~F.col("ok") | F.col("_retry").isNotNull())
+        retry = F.coalesce(F.col("_retry") + F.lit(int(again)), F.lit(0))
+        items = tried.select(*about("item"), none.cast("string").alias("shard_id"), "idx", F.when(F.col("ok"), "completed").otherwise("failed").alias("status"), F.col("ok").cast("long").alias("n_ok"), (~F.col("ok")).cast("long").alias("n_failed"), "error", retry.alias("retry"))
         counts = done.select(shard_of(F.col("idx"), self.shard_size).alias("shard_id"), "ok").groupBy("shard_id").agg(F.count_if("ok").alias("g"), F.count_if(~F.col("ok")).alias("b"))
-        if again:
-            counts = counts.join(self.shards(), "shard_id").select("shard_id", (F.col("n_ok") + F.col("g")).alias("g"), (F.col("n_failed") - F.col("g")).alias("b"))
-        state = F.when(F.col("b") > 0, "failed").otherwise("completed")
-        self._write(counts.select(F.lit(self.batch_id).alias("batch_id"), F.lit("shard").alias("kind"), "shard_id", none.cast("long").alias("idx"), state.alias("status"), F.col("g").alias("n_ok"), F.col("b").alias("n_failed"), none.cast("string").alias("error"), F.lit(again).alias("retry"), F.lit(at).alias("at")))
+        # A retry leaves failed items that have had their retries; a run takes up all of its shards' items.
+        failed = F.col("n_failed") - F.col("g") if again else F.col("b")
+        touched = F.col("status").isin("running") if not again else F.col("g").isNotNull()
+        counts = self.shards().join(counts, "shard_id", "left").where(touched).select("shard_id", (F.col("n_ok") + F.coalesce("g", F.lit(0))).alias("g"), F.coalesce(failed, F.lit(0)).alias("b"), "retry")
+        state = F.when(F.col("b") > 0, "failed").when(F.col("g") > 0, "completed").otherwise("pending")
+        shards = counts.select(*about("shard"), "shard_id", none.cast("long").alias("idx"), state.alias("status"), F.col("g").alias("n_ok"), F.col("b").alias("n_failed"), none.cast("string").alias("error"), (F.col("retry") + 1).alias("retry"))
+        named = self.spark.range(1).select(*about("attempt"), none.cast("string").alias("shard_id"), none.cast("long").alias("idx"), F.lit("completed").alias("status"), none.cast("long").alias("n_ok"), none.cast("long").alias("n_failed"), F.lit(attempt).alias("error"), F.lit(0).alias("retry"))
+        self._write(items.unionByName(shards).unionByName(named))
         now = progress(self.shards())
         if self.on_failed:
             self.on_failed(done.where(~F.col("ok")).select("idx", "error"))
+        if self.on_item_failed:
+            for r in done.where(~F.col("ok")).select("idx", "error").toLocalIterator():
+                self.on_item_failed(r.asDict())
+        if self.on_shard:
+            ran = done.select(shard_of(F.col("idx"), self.shard_size).alias("shard_id")).distinct()
+            for r in self.shards().join(ran, "shard_id").toLocalIterator():
+                self.on_shard(r.asDict())
         if self.on_progress:
             self.on_progress(now.first().asDict())
         return now

@@ -33,8 +33,29 @@ def test_batch_fails_retries_and_resumes(spark, tmp_path):
     assert [(r["idx"], r["retry"]) for r in batch.retriable(b.items()).collect()] == [(7, 1)]
     b.retry(items, work(-1))
     assert b.status() == "completed" and b.items().where("status = 'failed'").count() == 0
-    done = spark.read.parquet(f"{b.path}/results")
-    assert sorted(r["y"] for r in done.collect()) == [2 * i for i in range(12)]
+    assert sorted(r["y"] for r in b.results().collect()) == [2 * i for i in range(12)]
+
+
+def test_items_that_went_well_are_never_run_again(spark, tmp_path):
+    items = spark.range(20).withColumnRenamed("id", "idx")
+    told = []
+    b = batch.Batch(spark, str(tmp_path), "b", 10, on_shard=lambda r: told.append((r["shard_id"], r["status"])), on_item_failed=lambda r: told.append(r["idx"])).create(20)
+    assert b.results() is None
+    b.run(items, work(13))
+    assert b.results().count() == 19 and sorted(told, key=str) == [("shard_0000", "completed"), ("shard_0001", "failed"), 13]
+    for _ in range(2):  # a second run takes up the failed item only
+        b.run(items, work(13))
+        assert b.results().count() == 19 and b.summary()["processed"] == 19 and b.summary()["failed_items"] == 1
+
+    def killed(df):
+        work(-1)(df).write.parquet(f"{b.path}/attempts/torn")  # written, but not named
+        raise KeyboardInterrupt
+
+    with pytest.raises(KeyboardInterrupt):
+        b.run(items, killed)
+    assert b.shards().where("status = 'running'").count() == 1 and b.results().count() == 19
+    b.run(items, work(-1))
+    assert sorted(r["y"] for r in b.results().collect()) == [2 * i for i in range(20)] and b.status() == "completed"
 
 
 def test_resume_runs_only_what_is_left(spark, tmp_path):
@@ -87,11 +108,48 @@ def test_http():
     assert waits(7) == [1, 3, 5, 10, 30, 60, 120]
     slept = []
     replies = iter([(503, b""), (200, b"body")])
-    assert HttpClient(opener=lambda u, h: next(replies), sleep=slept.append).get("u") == b"body" and slept == [1]
+    assert HttpClient(opener=lambda m, u, h, b: next(replies), sleep=slept.append).get("u") == b"body" and slept == [1]
     with pytest.raises(StatusError):
-        HttpClient(opener=lambda u, h: (404, b""), sleep=slept.append).get("u")
+        HttpClient(opener=lambda m, u, h, b: (404, b""), sleep=slept.append).get("u")
     with pytest.raises(RetriesExhausted):
-        HttpClient(retries=1, opener=lambda u, h: (500, b""), sleep=slept.append).get("u")
+        HttpClient(retries=1, opener=lambda m, u, h, b: (500, b""), sleep=slept.append).get("u")
+
+
+def test_pages_are_fetched(spark):
+    from doclathe.sources.files import parse_files
+
+    def client():
+        return HttpClient(0, opener=lambda m, u, h, b: (200, f"<p>{m} {u}</p>".encode()) if "good" in u else (404, b""), sleep=lambda s: None)
+
+    rows = spark.createDataFrame([("https://a/good", None), ("https://a/bad", None), ("b.txt", None), ("https://a/held", bytearray(b"<p>own</p>"))], "path string, content binary")
+    got = {r["file_path"]: (r["success"], r["text"], r["error"]) for r in parse_files(rows, http=client).collect()}
+    assert got["https://a/good"] == (True, "GET https://a/good", None) and got["https://a/held"][1] == "own"
+    assert got["https://a/bad"] == (False, "", "StatusError: HTTP 404") and got["b.txt"][2] == "FileNotFoundError: no such file"
+
+
+def test_provider_clients():
+    from doclathe.operators.extraction import AuthError, HttpChatClient, RateLimitError, chat_with_retry
+
+    sent = []
+
+    def opener(method, url, headers, body):
+        sent.append((method, url, headers["Authorization"], json.loads(body)))
+        return 200, json.dumps({"choices": [{"message": {"content": "hello"}}]}).encode()
+
+    for provider, model in (("openai", "gpt-4o"), ("qwen", "qwen-plus"), ("zhipu", "glm-4-flash")):
+        client = HttpChatClient(provider, "k", http=HttpClient(0, opener=opener), max_tokens=5)
+        assert client.chat([{"role": "user", "content": "x"}]) == "hello"
+        method, url, key, body = sent[-1]
+        assert method == "POST" and url.endswith("/chat/completions") and key == "Bearer k"
+        assert body == {"model": model, "messages": [{"role": "user", "content": "x"}], "temperature": 0.1, "top_p": 0.9, "max_tokens": 5}
+    with pytest.raises(AuthError):
+        HttpChatClient("openai", "")
+    for status, error in ((401, AuthError), (429, RateLimitError), (500, RuntimeError)):
+        with pytest.raises(error):
+            HttpChatClient("qwen", "k", http=HttpClient(0, opener=lambda m, u, h, b: (status, b""))).chat([])  # noqa: B023
+    replies, slept = iter([(429, b""), (200, json.dumps({"choices": [{"message": {"content": "late"}}]}).encode())]), []
+    client = HttpChatClient("zhipu", "k", "http://own/", http=HttpClient(0, opener=lambda *a: next(replies)))
+    assert chat_with_retry(client, [], sleep=slept.append) == "late" and slept == [5.0]
 
 
 def test_plugins(spark, tmp_path):
