@@ -35,10 +35,14 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import coverage  # noqa: F401  registers more
+
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import coverage  # noqa: F401
+
     return dict(_sql)
 
 
@@ -181,13 +185,6 @@ def strip_tracking_params(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", cleaning.without_tracking(F.concat("url", tail)).alias("url"))
 
 
-@query()
-def normalize_urls(spark, sf_dir):
-    ship(spark)
-    own = table(spark, sf_dir, "pages").select("page_id", F.concat("url", F.lit("?b=2&utm_source=a&a=1&b=3")).alias("url"))
-    return cleaning.clean(own, [cleaning.urls])
-
-
 @query(f"select page_id, {sql_strip('''regexp_replace(regexp_replace(regexp_replace(html, '[ \\t]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '<[^>]+>', '', 'g')''')} as html from pages")
 def clean_pipeline(spark, sf_dir):
     return cleaning.clean(table(spark, sf_dir, "pages").select("page_id", "html"), [cleaning.whitespace, cleaning.html_tags])
@@ -225,7 +222,7 @@ def _store(spark, sf_dir) -> dedup.FingerprintStore:
     return dedup.FingerprintStore.empty(spark).register(seen.select(H.fingerprint(F.col("text")).alias("fingerprint"), "doc_id"))
 
 
-SEEN = "select md5(text) as fingerprint, max(doc_id::varchar) as d from documents where source in ('src0', 'src1', 'src2') group by 1"
+SEEN = "select md5(text) as fingerprint, max(doc_id)::varchar as d from documents where source in ('src0', 'src1', 'src2') group by 1"
 
 
 @query(f"select doc_id, md5(text) as fingerprint from documents where md5(text) not in (select fingerprint from ({SEEN}))")
@@ -422,13 +419,6 @@ def batch_extract_skip(spark, sf_dir):
     return out.select("doc_id", "success", "skipped", "skip_reason", F.col("data")["md5"].alias("model_md5"), "content_md5")
 
 
-@query("select n_nationkey, n_name, n_regionkey from nation")
-def csv_columns(spark, sf_dir):
-    """Through CSV text and back."""
-    own = table(spark, sf_dir, "nation").select(F.to_csv(F.struct("n_nationkey", "n_name", "n_regionkey")).alias("line"))
-    return own.select(F.from_csv("line", "n_nationkey int, n_name string, n_regionkey int").alias("r")).select("r.*")
-
-
 @query("select doc_id, lang, source from documents")
 def jsonl_columns(spark, sf_dir):
     own = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
