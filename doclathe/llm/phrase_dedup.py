@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import repeats
 from .common import Memo, dropped, parts, rolling, signed, stored, tuned
-from .repeats import anchors, by_content, contexts_in, counted_spans, covered, distinct_texts, in_texts, keyed, lists, merged, repeated_in_group, spans_batch
+from .repeats import anchors, by_content, contexts_in, counted_spans, covered, distinct_texts, in_texts, keyed, lists, merged, one_span, repeated_in_group, spans_batch
 
 WINDOW, PHRASE = 35, 8
 #: Phrases of one automaton, at most about so many.
@@ -131,7 +131,7 @@ def located(batches: Iterator[pa.RecordBatch], window: int, phrase: int) -> Iter
 
 
 def repeated_windows(texts: DataFrame, rows: DataFrame, window: int, phrase: int, hot: int, shard: int) -> DataFrame:
-    """k1, k2, first, last of words in windows that also start elsewhere."""
+    """k1, k2, spans of words in windows that also start elsewhere."""
     heads = rows.groupBy("h").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows"), F.min(F.struct("k1", "k2")).alias("k")).where("n > 1")
     heads = stored(heads.select("h", "rows", F.col("k.k1").alias("n1"), F.col("k.k2").alias("n2")), "phrases")
     known = heads.agg(F.count(F.lit(1)).alias("n"), F.max("rows").alias("most")).first()
@@ -173,13 +173,13 @@ def repeated_windows(texts: DataFrame, rows: DataFrame, window: int, phrase: int
             yield pa.RecordBatch.from_arrays([*(pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)), lists([signed(r[5]).tolist() for r in rows])], ["h", "k1", "k2", "firsts", "many", "w"])
 
     spans = "k1 long, k2 long, first long, last long"
-    out = dealt(texts, suspects.where(F.col("rows") <= hot), shards, hot).mapInArrow(compared, spans)
+    out = dealt(texts, suspects.where(F.col("rows") <= hot), shards, hot).mapInArrow(compared, spans).select("k1", "k2", one_span())
     if (known["most"] or 0) <= hot:
         return out
     many = dealt(texts, suspects.where(F.col("rows") > hot), shards, hot).mapInArrow(contents, "h long, k1 long, k2 long, before int, size int, start int, stop int, c1 long, c2 long, firsts array<long>")
     left, whole = by_content(stored(many, "contexts"), window, hot)
     left = left.withColumn("named", F.lit(True))
-    out = out.unionByName(whole).unionByName(dealt(texts, left.where(F.col("rows") <= hot), shards, hot).mapInArrow(compared, spans))
+    out = out.unionByName(whole).unionByName(dealt(texts, left.where(F.col("rows") <= hot), shards, hot).mapInArrow(compared, spans).select("k1", "k2", one_span()))
     if (more := left.where(F.col("rows") > hot)).isEmpty():
         return out
     more = dealt(texts, more, shards, hot).mapInArrow(listed, "h long, k1 long, k2 long, firsts array<long>, many boolean, w array<long>")

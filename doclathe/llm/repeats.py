@@ -108,16 +108,26 @@ def in_texts(texts: DataFrame, rows: DataFrame, *columns: Column) -> DataFrame:
     return both.select("k1", "k2", *names, (many | F.col("again") if "again" in names else many).alias("many"), *columns)
 
 
+def spans_from(shift: Column, size: Column) -> Column:
+    """spans: a span (first, last) of ``size`` tokens, ``shift`` after each of a context's firsts."""
+    span = lambda f: F.struct((f + shift).cast("long").alias("first"), (f + shift + size).cast("long").alias("last"))
+    return F.transform("firsts", span).alias("spans")
+
+
+def one_span() -> Column:
+    """spans, of the one span that a row has."""
+    return F.array(F.struct("first", "last")).alias("spans")
+
+
 def counted_spans(windows: DataFrame, length: int) -> DataFrame:
-    """k1, k2, first, last of repeated windows, by counting windows one by one.
+    """k1, k2, spans of repeated windows, by counting windows one by one.
 
     ``windows``: h, k1, k2, firsts, many, w (hashes of a context's windows). Counts are partial before the shuffle, and the
     work grows with the rows, not with the square of an anchor's."""
     one = windows.select("h", "k1", "k2", "firsts", "many", F.posexplode("w").alias("j", "w"))
     again = one.groupBy("h", "w").agg(F.sum(F.when(F.col("many"), 2).otherwise(1)).alias("n")).where("n > 1").select("h", "w")
-    hit = one.join(stored(again, "repeated"), ["h", "w"]).select("k1", "k2", F.explode("firsts").alias("f"), "j")
-    first = F.col("f") + F.col("j")
-    return hit.select("k1", "k2", first.alias("first"), (first + length).alias("last"))
+    hit = one.join(stored(again, "repeated"), ["h", "w"])
+    return hit.select("k1", "k2", spans_from(F.col("j"), F.lit(length)))
 
 
 def by_content(contexts: DataFrame, length: int, hot: int) -> tuple[DataFrame, DataFrame]:
@@ -127,8 +137,7 @@ def by_content(contexts: DataFrame, length: int, hot: int) -> tuple[DataFrame, D
     from end to end. One of each content is left, with again (whether there are others) and rows (of its anchor)."""
     classes = stored(contexts.groupBy("h", "c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2")).alias("one")), "contents")
     both = contexts.join(classes, ["h", "c1", "c2"])
-    known = both.where("n > 1").select("k1", "k2", F.explode("firsts").alias("first"), "size")
-    known = known.select("k1", "k2", "first", (F.col("first") + F.col("size") - 1 + length).alias("last"))
+    known = both.where("n > 1").select("k1", "k2", spans_from(F.lit(0), F.col("size") - 1 + length))
     left = both.where((F.col("k1") == F.col("one.k1")) & (F.col("k2") == F.col("one.k2")))
     rows = classes.groupBy("h").agg(F.count(F.lit(1)).alias("rows"))
     return stored(left.withColumn("again", F.col("n") > 1).drop("n", "one", "c1", "c2").join(rows, "h"), "left"), known
@@ -202,6 +211,6 @@ def merged(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def covered(texts: DataFrame, spans: DataFrame) -> DataFrame:
-    """The texts with the list of their spans (null: none)."""
-    own = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    """The texts with the list of their spans (null: none); ``spans``: k1, k2, spans."""
+    own = spans.groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     return texts.join(own, ["k1", "k2"], "left").select("k1", "k2", "text", "copies", F.col("spans.first").alias("firsts"), F.col("spans.last").alias("lasts"))

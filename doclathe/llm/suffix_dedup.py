@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from . import repeats
 from .common import dropped, mixed, parts, reopened, rolling, sharded, signed, stored, tuned
 from .links import grouped_runs
-from .repeats import anchors, by_content, contexts_in, counted_spans, covered, distinct_texts, in_texts, keyed, lists, merged, repeated_in_group, spans_batch
+from .repeats import anchors, by_content, contexts_in, counted_spans, covered, distinct_texts, in_texts, keyed, lists, merged, one_span, repeated_in_group, spans_batch
 
 LENGTH, HEAD, BATCHES = 400, 32, 4
 with np.errstate(over="ignore"):
@@ -149,7 +149,7 @@ class SuffixIndex:
         return out.groupBy("k1", "k2").agg(F.first("text").alias("text"), F.sum("copies").alias("copies"))
 
     def matches(self, hot: int | None = None) -> DataFrame:
-        """k1, k2, first, last: bytes in strings of ``length`` bytes that also start elsewhere, in any batch."""
+        """k1, k2, spans: bytes in strings of ``length`` bytes that also start elsewhere, in any batch."""
         rows = self.rows[0].select("h", "k1", "k2", "size", "firsts")
         for r in self.rows[1:]:
             rows = rows.unionByName(r.select("h", "k1", "k2", "size", "firsts"))
@@ -185,7 +185,7 @@ class SuffixIndex:
 
 
 def long_matches(texts: DataFrame, suspects: DataFrame, length: int, hot: int) -> DataFrame:
-    """k1, k2, first, last of bytes in strings of ``length`` bytes that also start elsewhere; ``suspects``: h, k1, k2, size,
+    """k1, k2, spans of bytes in strings of ``length`` bytes that also start elsewhere; ``suspects``: h, k1, k2, size,
     firsts of the suffixes whose head recurs. See ``by_content`` for heads with more than ``hot`` rows."""
     large = stored(suspects.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > hot).select("h"), "large")
     s = F.substring("b", (F.element_at("firsts", 1) + 1).cast("int"), F.col("size") - 1 + length).alias("s")
@@ -207,7 +207,7 @@ def long_matches(texts: DataFrame, suspects: DataFrame, length: int, hot: int) -
 
     def compared(rows: DataFrame) -> DataFrame:
         rows = in_texts(texts, rows, s).select("h", "k1", "k2", "firsts", "many", "s")
-        return grouped_runs(rows, ["h"], kernel, "k1 long, k2 long, first long, last long", at_most=4000)
+        return grouped_runs(rows, ["h"], kernel, "k1 long, k2 long, first long, last long", at_most=4000).select("k1", "k2", one_span())
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
