@@ -7,8 +7,9 @@ weights. ``k`` defaults to the labels' share of good rows, of all rows. Words ar
 and runs of other signs.
 
 Defined cases: null and empty texts have weight zero; without good labels every weight is zero and nothing is drawn
-unless ``k`` is given; ids with several labels count as good if one says so; rows with equal ids and weights are drawn
-in an arbitrary but complete order; other columns are ignored.
+unless ``k`` is given; ids with several labels count as good if one says so; of rows with equal keys those with smaller
+ids are drawn first, null ids before them, and rows with equal ids and keys are interchangeable; other columns, of both
+tables, are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Memo, mixed, stored, tuned
@@ -81,8 +82,8 @@ def log_ratios(marked: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
 
 
 def top_k(df: DataFrame, k: int, key: str = "gumbel_key", tie: str = "doc_id") -> DataFrame:
-    """The rows with the k largest keys. The k-th key is found digit by digit from counts of at most 2^16 buckets, so
-    no task sorts or holds the whole table."""
+    """The rows with the k largest keys. The k-th key, to 2^-20, is found digit by digit from counts of at most 2^16
+    buckets, so no task sorts or holds the whole table; rows within 2^-20 of it are taken by key and then by ``tie``."""
     if k <= 0:
         return df.limit(0)
     df = df.withColumn("_o", _ordered(F.col(key)))
@@ -101,8 +102,7 @@ def top_k(df: DataFrame, k: int, key: str = "gumbel_key", tie: str = "doc_id") -
         else:
             return df.drop("_o")
     above, equal = df.where(F.col("_o") > low), df.where(F.col("_o") == low)
-    n = Window.orderBy(tie)
-    return above.unionByName(equal.withColumn("_n", F.row_number().over(n)).where(F.col("_n") <= need).drop("_n")).drop("_o")
+    return above.unionByName(equal.orderBy(F.col(key).desc(), tie).limit(need)).drop("_o")
 
 
 def _ordered(x):

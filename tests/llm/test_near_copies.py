@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 import random
 
 import numpy as np
@@ -127,3 +128,34 @@ def test_embeddings_equal_brute_force(spark, monkeypatch, block):
     assert sorted(got, key=key) == sorted(want, key=key)
     assert embedding_dedup(df.limit(0)).count() == 0
     assert embedding_dedup(df.where(F.col("vec_id") == 300)).first()["kept"]
+
+
+SF = "/root/testdata/sf0.1"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
+def test_recall_on_real_tables(spark):
+    """Every pair found by brute force is retrieved through the tables, and no other."""
+    df = spark.read.parquet(f"{SF}/embeddings.parquet")
+    rows = df.toPandas()
+    x = np.stack(rows["embedding"].to_numpy()).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    n = np.zeros(len(rows), int)
+    for label in rows["label"].unique():
+        at = np.flatnonzero(rows["label"] == label)
+        n[at] = (x[at] @ x[at].T >= 0.98).sum(1) - 1
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup(df).collect()}
+    found = np.array([got[i] for i in rows["vec_id"]])
+    assert (found <= n).all() and found.sum() >= 0.99 * n.sum()
+
+
+def test_plans_follow_the_number_of_vectors():
+    from doclathe.llm.embedding_dedup import Plan
+
+    widths = [Plan.of(n, 64, 0.98).width for n in (1, 1000, 5600, 10**6, 10**9)]
+    assert widths == sorted(widths) and widths[0] == 8 and widths[-1] == 24
+    for n in (1, 5600, 10**9):
+        p = Plan.of(n, 64, 0.98)
+        same = (1 - np.arccos(0.98) / np.pi) ** p.width
+        assert (1 - same) ** p.tables <= 1e-4 and p.rotations * p.each >= p.tables
+    assert Plan.of(100, 3, 0.98).bits == 3
