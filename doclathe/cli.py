@@ -117,7 +117,7 @@ def main(argv: list[str] | None = None) -> int:
         else:
             b = s.create_and_run(listed, work, a.shard_size)
         if a.output:
-            sinks.save_jsonl(spark.read.parquet(f"{b.path}/results"), a.output)
+            sinks.save_jsonl(b.results(), a.output)
         print(json.dumps(b.summary()))
     elif a.verb == "status":
         print(json.dumps(Scheduler(spark, a.state).status(a.batch_id)))
