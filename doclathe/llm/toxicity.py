@@ -7,8 +7,8 @@ factorization machine of rank RANK is fitted to them: bias, weights, and an inte
 that at least three of these rows have get factors, fitted to what is left, so that pairs tell whose terms do not.
 
 Defined cases: null and empty texts get the score of a text without terms; ids with several labels are toxic if one
-says so; null labels and ids teach nothing; labels of one class only, or none, give every text that class's share; rows
-with equal ids are scored one by one; other columns stay as they are.
+says so; null labels and ids teach nothing, and of rows with equal ids one does; labels of one class only, or none, give
+every text that class's share; rows with equal ids are scored one by one; other columns, of both tables, are ignored.
 """
 
 from __future__ import annotations
@@ -149,7 +149,8 @@ def fitted(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, negativ
         return FactorizationMachine.fit([], np.empty(0), np.empty(0))
     sample = F.broadcast(spark.createDataFrame(chosen, "doc_id long, toxic int"))
     buckets = _bucket_udf()
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).join(sample, "doc_id").select("doc_id", "toxic", buckets("text").alias("b")).collect()
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).join(sample, "doc_id").select("doc_id", "toxic", buckets("text").alias("b"))
+    found = found.groupBy("doc_id", "toxic").agg(F.min("b").alias("b")).collect()  # one row for each id: the bound holds
     found.sort(key=lambda r: (r["toxic"], r["doc_id"], r["b"]))
     y = np.array([r["toxic"] for r in found], float)
     rows = [np.frombuffer(r["b"], np.uint32) for r in found]

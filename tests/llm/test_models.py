@@ -52,6 +52,7 @@ def toxic_docs(n=600):
 def test_toxicity(docs_of, spark, odd_texts):
     docs, labels = toxic_docs()
     lab = spark.createDataFrame([*labels, (None, 1, 1), (5, None, None), (0, 0, 0)], "doc_id long, quality int, toxic int")
+    lab = lab.withColumn("text", F.lit("x")).withColumn("b", F.lit(1)).withColumn("score", F.lit(2.0))  # names that clash
     out = toxicity(docs_of(docs + odd_texts), lab).collect()
     assert len(out) == len(docs) + len(odd_texts)
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in out)
@@ -77,7 +78,7 @@ def test_quality_drops_junk(spark):
 
 
 def test_resampling_of_odd_texts(docs_of, spark, odd_texts):
-    labels = spark.createDataFrame([(4, 1, 0), (5, 0, 0), (None, 1, None), (4, None, 1)], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame([(4, 1, 0), (5, 0, 0), (None, 1, None), (4, None, 1)], "doc_id long, quality int, toxic int").withColumn("text", F.lit("x")).withColumn("target", F.lit(True))
     assert resample(docs_of(odd_texts), labels, k=6).count() == 6
     assert resample(docs_of(odd_texts), labels, k=100).count() == len(odd_texts)
     assert resample(docs_of(odd_texts), labels.limit(0)).count() == 0
