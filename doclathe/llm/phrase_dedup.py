@@ -136,7 +136,8 @@ def repeated_windows(texts: DataFrame, rows: DataFrame, window: int, phrase: int
     heads = stored(heads.select("h", "rows", F.col("k.k1").alias("n1"), F.col("k.k2").alias("n2")), "phrases")
     known = heads.agg(F.count(F.lit(1)).alias("n"), F.max("rows").alias("most")).first()
     suspects = stored(rows.join(heads, "h").withColumn("named", (F.col("k1") == F.col("n1")) & (F.col("k2") == F.col("n2"))).withColumn("again", F.lit(False)).drop("n1", "n2", "n"), "suspects")
-    shards = max(parts(texts.sparkSession), -(-known["n"] // shard))
+    # Many more than tasks, so that tasks get about as many pieces each.
+    shards = max(16 * parts(texts.sparkSession), -(-known["n"] // shard))
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
