@@ -57,7 +57,10 @@ def ending(w: bytes) -> int:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    with np.errstate(over="ignore"):
+        out = np.exp(-x)
+    out += 1
+    return np.reciprocal(out, out=out)
 
 
 class LogBilinear:
@@ -73,12 +76,14 @@ class LogBilinear:
         self.c1, self.c2 = np.eye(rank, dtype=np.float32), 0.5 * np.eye(rank, dtype=np.float32)
         self.q = rng.normal(0, 0.1, (n, rank)).astype(np.float32)
         self.b = np.log(self.noise).astype(np.float32)
+        self._upto = np.cumsum(self.noise)
+        self._shift = np.log(self.noise).astype(np.float32)
         self._seen = {k: np.full(getattr(self, k).shape, 1e-6, np.float32) for k in self.NAMES}
 
     def step(self, u1: np.ndarray, u2: np.ndarray, w: np.ndarray, rng: np.random.Generator, noise: int = NOISE, rate: float = RATE) -> None:
         """One step of AdaGrad: each class w is to be told from ``noise`` classes sampled for all of them."""
-        k = np.minimum(np.searchsorted(np.cumsum(self.noise), rng.random(noise)), len(self.noise) - 1)
-        shift = np.log(noise * self.noise).astype(np.float32)
+        k = np.minimum(np.searchsorted(self._upto, rng.random(noise)), len(self.noise) - 1)
+        shift = self._shift + np.float32(np.log(noise))
         x1, x2 = self.r[u1], self.r[u2]
         v = x1 @ self.c1 + x2 @ self.c2
         qw, qk = self.q[w], self.q[k]
@@ -93,6 +98,7 @@ class LogBilinear:
             self._move(name, np.arange(len(self.c1)), x.T @ dv, rate * 0.1)
 
     def _move(self, name: str, rows: np.ndarray, g: np.ndarray, rate: float) -> None:
+        rows = rows.astype(np.uint16)  # sorted by radix; there are fewer than 2^16 classes
         order = np.argsort(rows, kind="stable")
         rows = rows[order]
         first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
