@@ -47,3 +47,17 @@ def test_entry(spark):
 
     assert e.entry(spark).count() == 200
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.parametrize("part", ["part-0.parquet", "day=1/part-0.parquet"])
+def test_tables_that_are_folders(spark, tmp_path, part):
+    for i, t in enumerate(TABLES):
+        at = tmp_path / f"{t}.parquet" / part if i % 3 else tmp_path / f"{t}.parquet"
+        at.parent.mkdir(parents=True, exist_ok=True)
+        at.write_bytes(b"not read")
+    (tmp_path / "documents.parquet" / "part-1.parquet").write_bytes(b"not read")
+    (tmp_path / "notes.txt").write_text("no table")
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "other.parquet").write_bytes(b"no table of this folder")
+    found = duckdb.connect().execute(catalogue.oracle_sql()["folder_files"]).fetchall()
+    assert plain(catalogue.queries()["folder_files"](spark, str(tmp_path)).collect()) == plain(found)
