@@ -61,3 +61,13 @@ def test_tables_that_are_folders(spark, tmp_path, part):
     (tmp_path / "sub" / "other.parquet").write_bytes(b"no table of this folder")
     found = duckdb.connect().execute(catalogue.oracle_sql()["folder_files"]).fetchall()
     assert plain(catalogue.queries()["folder_files"](spark, str(tmp_path)).collect()) == plain(found)
+
+
+def test_store_of_texts_in_several_languages(spark, tmp_path):
+    own = [("a", "en"), ("a", "fr"), ("a", "de"), ("b", "en"), ("b", "en"), ("c", "de"), (None, "fr"), (None, "en"), ("d", None), ("a", None), (None, None), ("", "es"), ("", ""), ("x|y", "de"), ("y", "de|x"), ("|", "en")]
+    spark.createDataFrame(own, "text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    found = con.execute(catalogue.oracle_sql()["store_load_remove"]).fetchall()
+    assert found == [(8, 5, 8)]
+    assert plain(catalogue.queries()["store_load_remove"](spark, str(tmp_path)).collect()) == plain(found)
